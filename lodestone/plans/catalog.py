@@ -1,4 +1,6 @@
 """All queries of the engine over the test tables, and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lodestone.plans import graph_queries
+
+QUERIES = {**graph_queries.QUERIES}
+ORACLE_SQL = {**graph_queries.ORACLE_SQL}
