@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import re
@@ -18,13 +19,13 @@ from lodestone.llm.common import durable, ship, table
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "byte_bpe_50k.json"
 #: Texts are handed to the tokenizer in lots of about so many characters.
-LOT = 1 << 20
+LOT = 1 << 22
 #: White space as the byte-level pre-tokenizer sees it, and units that it never joins: a run of other characters with
 #: the space before it, or a run of white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Units that a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 1_000_000, 48
 
 
 def tokenizer(name: str):
@@ -38,6 +39,20 @@ def tokenizer(name: str):
     return t
 
 
+def companion(name: str):
+    """The same vocabulary as ranks, where the file lies beside the tokenizer's: it encodes short units faster, to the
+    same ids (merges in order of rank)."""
+    import public_tokenizers
+    import tiktoken
+
+    path = (name if os.path.isabs(name) else public_tokenizers.path(name)).removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(path):
+        return None
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def lots(ids: list, texts: list) -> Iterator[tuple[list, list]]:
     """Rows in order, in lots of about LOT characters."""
     a, size = 0, 0
@@ -59,20 +74,28 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         how = json.loads(self.t.to_str())
         pre = how["pre_tokenizer"] or {}
+        self.ranks = companion(name)
         self.by_unit = (how["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                         and pre.get("use_regex", True) and all(x["special"] for x in how["added_tokens"]))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, units: list[str]) -> None:
+        """Encode units that are not known yet."""
+        if self.ranks is not None:
+            self.known.update((u, np.array(self.ranks.encode_ordinary(u), self.kind).tobytes()) for u in units)
+        else:
+            self.known.update(zip(units, self.raw(units), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
             return [x + self.end for x in self.raw(texts)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, cut = self.known, [UNIT.findall(x) for x in texts]
-        new = list({u for units in cut for u in units if u not in known})
-        known.update(zip(new, self.raw(new), strict=True))
+        new = list(set().union(*cut).difference(known))
+        self.learn(new)
         out = [b"".join(map(known.__getitem__, units)) + self.end for units in cut]
         for u in new:
             if len(u) > LONGEST:
