@@ -155,4 +155,4 @@ def has_parenthetical(a: Column, b: Column) -> Column:
 
 def identifier_parts(x: Column) -> Column:
     """Pieces between commas, semicolons and pipes; blanks and placeholders go."""
-    return F.filter(F.transform(F.split(given(x), r"[,;|]"), F.trim), lambda p: ~F.lower(p).isin("", "-", "none", "null", "nan"))
+    return F.filter(F.transform(F.split(given(x), r"[,;|]"), lambda p: F.trim(p)), lambda p: ~F.lower(p).isin("", "-", "none", "null", "nan"))

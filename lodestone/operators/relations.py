@@ -21,7 +21,7 @@ def clean_triples(answer: Column, visible: Column, need_context: bool = False) -
     pair = lambda t: F.concat(F.substring(F.trim(t["subject"]), 1, 1), F.substring(F.trim(t["object"]), 1, 1))
     mixed = lambda t: pair(t).isin("HG", "GH")
     number = lambda x: F.struct(F.substring(x, 1, 1).alias("p"), F.substring(x, 2, 9).cast("int").alias("n"), x.alias("x"))
-    cells = lambda t: F.transform(F.array_sort(F.transform(F.array_distinct(F.filter(F.transform(F.coalesce(t["cell_context"], F.array().cast("array<string>")), F.trim),
+    cells = lambda t: F.transform(F.array_sort(F.transform(F.array_distinct(F.filter(F.transform(F.coalesce(t["cell_context"], F.array().cast("array<string>")), lambda c: F.trim(c)),
         lambda c: c.rlike(r"^C\d+$") & F.array_contains(visible, c))), number)), lambda s: s["x"])
     done = F.transform(raw, lambda t: F.struct(number(F.trim(t["subject"])).alias("s"), F.lower(F.trim(t["predicate"])).alias("predicate"), number(F.trim(t["object"])).alias("o"),
                                               F.when(mixed(t), cells(t)).otherwise(F.array().cast("array<string>")).alias("context"), mixed(t).alias("mixed")))
