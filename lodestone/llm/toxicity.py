@@ -18,10 +18,10 @@ from lodestone.llm.common import ship, table
 PLACES = 1 << 22
 #: Bounds of the labelled sample that the model is fitted on: toxic and other rows, by a hash of doc_id.
 TOXIC_ROWS, OTHER_ROWS = 4000, 8000
-#: Terms that the model knows at most, those of them chosen by frequency, and how far (in standard errors) the rates
+#: Terms that the model knows at most, those of them chosen by frequency (at most a 40th of the rows), and how far (in standard errors) the rates
 #: of a term must differ between the classes for the rest.
 TERMS, FREQUENT, DIFFERENCE = 2048, 192, 4.0
-FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 6, 14, 512, 0.03, 3e-4, 5
+FACTORS, EPOCHS, BATCH, LEAST_BATCHES, RATE, DECAY, SEED = 6, 14, 512, 16, 0.03, 3e-4, 5
 #: Words whose terms a worker remembers.
 REMEMBERED = 300_000
 THRESHOLD, HELD_OUT = 0.3, 2
@@ -94,7 +94,7 @@ def fit(samples: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
     p1, p0 = pos / y.sum(), (df - pos) / (len(y) - y.sum())
     rate = df / len(y)
     z = np.abs(p1 - p0) / np.sqrt(rate * (1 - rate) * (1 / y.sum() + 1 / (len(y) - y.sum())) + 1e-9)
-    frequent = np.argsort(-df, kind="stable")[:FREQUENT]
+    frequent = np.argsort(-df, kind="stable")[:min(FREQUENT, len(y) // 40)]  # no more than a small sample can bear
     telling = [i for i in np.argsort(-z, kind="stable")[:TERMS] if z[i] >= DIFFERENCE and df[i] >= 3]
     chosen = np.array(sorted({*frequent.tolist(), *telling[:TERMS - FREQUENT]}))
     to = np.full(len(places), -1)
@@ -105,7 +105,7 @@ def fit(samples: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
     params = [np.array([odds(y.mean())]), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS))]
     m, s, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(EPOCHS):
-        for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
+        for rows in np.array_split(rng.permutation(len(y)), min(len(y), max(LEAST_BATCHES, len(y) // BATCH))):
             b, w, v = params
             xb = x[rows]
             sums = xb @ v
