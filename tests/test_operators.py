@@ -69,7 +69,7 @@ def test_label_spans_and_windows(spark):
 
 
 def test_json_values_and_bioc(spark):
-    raw = '{"id":1,"passages":[{"offset":0,"infons":{"section_type":"abstract"},"text":"x"},{"text":" "}]}, {"PubTator3":[{"id":"2","passages":[]}]}\n[]'
+    raw = '{"id":1,"passages":[{"offset":0,"infons":{"section_type":"abstract"},"text":"x"},{"text":" "}]}, {"Docs":[{"id":"2","passages":[]}]}\n[]'
     assert len(records.json_values(raw)) == 3
     docs = records.bioc(spark.createDataFrame([(raw,)], "value string"))
     assert {r.id for r in docs.collect()} == {"1", "2"}
