@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, ship, table
@@ -21,7 +21,9 @@ SLOTS = 1 << 22
 MISS = 3e-7
 #: Coordinates kept as one byte each, for estimates before sets are compared, and how many standard errors an
 #: estimate may lie below the threshold.
-SKETCH, ERRORS = 128, 5.0
+SKETCH, ERRORS = 768, 4.0
+#: Bits of the fixed-size filter of ids whose sets are wanted, and of one of its rows.
+FILTER, ROW = 1 << 23, 1 << 15
 #: Members of a bucket that are compared with one another in one task.
 CHUNK = 512
 
@@ -86,7 +88,7 @@ def signature(shingles: np.ndarray, length: int) -> np.ndarray:
     return least
 
 
-SIGNED = "doc_id long, n long, set_key binary, bands array<long>, sketch binary"
+SIGNED = "doc_id long, n long, set_key binary, bands array<long>, low binary, sketch binary"
 
 
 def sign_partition(plan: Plan) -> Callable:
@@ -94,7 +96,7 @@ def sign_partition(plan: Plan) -> Callable:
         length = max(plan.bands * plan.rows, SKETCH)
         salt = mixed(np.arange(1, plan.bands * plan.rows + 1, dtype=np.uint64)).reshape(plan.bands, plan.rows)
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_py(), plan.words)
                 rows[0].append(doc_id)
@@ -104,31 +106,52 @@ def sign_partition(plan: Plan) -> Callable:
                         r.append(None)
                     continue
                 sig = signature(s, length)
-                bands = mixed((mixed(sig[:salt.size].astype(np.uint64).reshape(salt.shape) + salt)).sum(axis=1, dtype=np.uint64))
+                bands = mixed((mixed(sig[:salt.size].astype(np.uint64).reshape(salt.shape) + salt)).sum(axis=1, dtype=np.uint64) + salt[:, 0])
                 rows[2].append(xxhash.xxh3_128_digest(s.tobytes()))
                 rows[3].append(bands.view(np.int64))
-                rows[4].append(sig[:SKETCH].astype(np.uint8).tobytes())
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+                rows[4].append(bands.astype(np.uint32).tobytes())
+                rows[5].append(sig[:SKETCH].astype(np.uint8).tobytes())
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)],
                                              names=[x.split()[0] for x in SIGNED.split(", ")])
     return run
 
 
-def sets_partition(words: int) -> Callable:
+def sets_partition(words: int, wanted: np.ndarray) -> Callable:
+    """Sets of the texts whose id's bit is on in the filter (a few others may come along)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            bit = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7)) & 1 == 1))
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                yield pa.record_batch([part.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column(1)], pa.binary())], names=["id", "shingles"])
     return run
 
 
-def alike_partition(least: float) -> Callable:
-    """Pairs whose sketches agree in so many places that the texts may be alike."""
+def bit_of(id_: str) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(FILTER))
+
+
+def filter_of(ids: DataFrame) -> np.ndarray:
+    """The bits of all ids: a filter of FILTER bits, whatever their number."""
+    bits = ids.select(bit_of(ids.columns[0]).alias("bit"))
+    rows = bits.groupBy(F.floor(F.col("bit") / ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("bit") % ROW).alias("bits")).toArrow()
+    out = np.zeros(FILTER // 8, np.uint8)
+    for row, raw in zip(rows["row"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+        out[row * ROW // 8:(row + 1) * ROW // 8] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def alike_partition(least: float, percent: int) -> Callable:
+    """Pairs whose sizes fit and whose sketches agree in so many places that the texts may be alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-                batch = batch.filter(pa.array((x == y).mean(axis=1) >= least))
+                n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (4, 5))
+                fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                batch = batch.filter(pa.array(fits & ((x == y).mean(axis=1) >= least)))
             yield batch.select([0, 1])
     return run
 
@@ -147,19 +170,24 @@ def verify_partition(percent: int) -> Callable:
 
 
 def cross_pairs(least: float, percent: int) -> Callable:
-    """Of one pair of chunks of a bucket, the pairs of different components that may be alike."""
+    """Of one pair of chunks of a bucket, the pairs of different components that may be alike; a pair that shares
+    several buckets comes from the first of them only."""
     def run(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         chunk, ids, n, group = (part[c].to_numpy() for c in ("chunk", "id", "n", "component"))
         sketch = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-        one = len(part) and part["ci"][0].as_py() == part["cj"][0].as_py()
-        left = np.arange(len(ids)) if one else np.flatnonzero(chunk == part["ci"][0].as_py())
-        right = left if one else np.flatnonzero(chunk != part["ci"][0].as_py())
+        low = np.frombuffer(b"".join(part["low"].to_pylist()), np.uint32).reshape(len(ids), -1)
+        band = np.flatnonzero(low[0] == np.uint32(part["key"][0].as_py() & 0xFFFFFFFF))[0]
+        ci, cj = part["ci"][0].as_py(), part["cj"][0].as_py()
+        left = np.flatnonzero(chunk == ci)
+        right = left if ci == cj else np.flatnonzero(chunk == cj)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for i in left:
-            fits = right[(group[right] != group[i]) & (ids[right] > ids[i] if one else ids[right] != ids[i])
-                         & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            fits = fits[(sketch[fits] == sketch[i]).mean(axis=1) >= least] if len(fits) else fits
+            fits = right[(group[right] != group[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            if ci == cj:
+                fits = fits[ids[fits] > ids[i]]
+            fits = fits[~(low[fits, :band] == low[i, :band]).any(axis=1)]
+            fits = fits[(sketch[fits] == sketch[i]).mean(axis=1) >= least]
             if len(fits):
                 out.append((np.maximum(ids[i], ids[fits]), np.minimum(ids[i], ids[fits])))
         x, y = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in (0, 1))
@@ -170,20 +198,19 @@ def cross_pairs(least: float, percent: int) -> Callable:
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) for every id in edges (x, y).
 
-    Each round takes the smallest label among neighbours, then the label of that label; the rounds needed grow with
-    the logarithm of the longest path. Labels are kept by checkpoints.
+    Each round joins every node to its smallest neighbour and contracts the edges to what is left between the new
+    nodes, so edges shrink fast and only the list of ids goes through every round. Rounds are kept by checkpoints.
     """
-    both = durable(edges.select("x", "y").union(edges.select("y", "x")).distinct())
-    labels = both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("y")).select("id", F.least("id", "y").alias("component"))
-    labels = durable(labels)
-    while True:
-        heard = (both.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("heard")))
-        near = labels.join(heard, "id").select("id", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        new = durable(near.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("next", "component")).alias("component")))
-        labels = new.select("id", "component")
-        if new.where("was <> component").isEmpty():
-            return labels
+    edges = durable(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
+    labels = edges.select(F.explode(F.array("x", "y")).alias("id")).distinct().select("id", F.col("id").alias("component"))
+    while not edges.isEmpty():
+        nodes = edges.union(edges.select("y", "x")).groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("parent"))
+        nodes = durable(nodes)
+        up = lambda c, to: nodes.select(F.col("node").alias(c), F.col("parent").alias(to))
+        labels = durable(labels.join(up("component", "parent"), "component", "left").select("id", F.coalesce("parent", "component").alias("component")))
+        edges = durable(edges.join(up("x", "a"), "x").join(up("y", "b"), "y").where("a <> b")
+                        .select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
+    return labels
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -202,53 +229,50 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     signed = durable(rows.mapInArrow(sign_partition(plan), SIGNED))
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     leaders = (signed.join(classes.withColumnRenamed("set_key", "key"), (F.col("doc_id") == F.col("id")) & (F.col("set_key") == F.col("key")))
-               .select("id", "n", "bands", "sketch").dropDuplicates(["id"]))
+               .select("id", "n", "bands", "low", "sketch").dropDuplicates(["id"]))
     leaders = durable(leaders)
-    banded = leaders.select(F.posexplode("bands").alias("band", "hash"), "id", "n")
-    salted = lambda s: F.min(F.struct(F.xxhash64("id", F.lit(s)).alias("h"), F.col("id"), F.col("n")))
-    buckets = (banded.groupBy("band", "hash")
-               .agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("a"), salted(1).alias("b"), salted(2).alias("c"))
-               .where("members > 1")
-               .select("band", "hash", "members", F.array(*[F.struct(F.col(f"{k}.id").alias("id"), F.col(f"{k}.n").alias("n")) for k in "abc"]).alias("hubs")))
-    members = durable(banded.join(buckets, ["band", "hash"]))
-    fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * plan.percent
-    stars = (members.select("id", "n", F.explode(F.array_distinct("hubs")).alias("hub"))
-             .where((F.col("id") != F.col("hub.id")) & fits(F.col("n"), F.col("hub.n")))
-             .select(F.greatest("id", "hub.id").alias("x"), F.least("id", "hub.id").alias("y")).distinct())
-    sketches = leaders.select("id", "sketch")
+    banded = leaders.select(F.explode("bands").alias("key"), "id")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = durable(banded.join(shared, "key"))
+    salted = lambda s: F.min(F.struct(F.xxhash64("id", F.lit(s)), F.col("id")))["id"]
+    hubs = members.groupBy("key").agg(F.array_distinct(F.array(F.min("id"), salted(1), salted(2))).alias("hubs"))
+    stars = (members.join(hubs, "key").select("id", F.explode("hubs").alias("hub")).where("id <> hub")
+             .select(F.greatest("id", "hub").alias("x"), F.least("id", "hub").alias("y")).distinct())
 
     def alike(pairs: DataFrame) -> DataFrame:
-        of = lambda k: sketches.select(F.col("id").alias(k), F.col("sketch").alias(f"s{k}"))
-        return (pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "sx", "sy")
-                .mapInArrow(alike_partition(plan.least_estimate), "x long, y long"))
+        of = lambda k: leaders.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+        return (pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "nx", "ny", "sx", "sy")
+                .mapInArrow(alike_partition(plan.least_estimate, plan.percent), "x long, y long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = durable(pairs)
-        wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-        texts = rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = durable(texts.mapInArrow(sets_partition(plan.words), "id long, shingles binary"))
+        wanted = filter_of(pairs.select(F.explode(F.array("x", "y")).alias("id")))
+        sets = (rows.where("doc_id is not null").select("doc_id", "text", bit_of("doc_id"))
+                .mapInArrow(sets_partition(plan.words, wanted), "id long, shingles binary"))
+        sets = durable(sets.join(leaders.select("id"), "id", "left_semi").dropDuplicates(["id"]))
         of = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}"))
         return (pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "sx", "sy")
                 .mapInArrow(verify_partition(plan.percent), "x long, y long"))
 
+    stars = durable(stars)
     links = durable(verified(alike(stars)))
     known = components(links)
-    placed = (members.where("members > 2").select("band", "hash", "members", "id", "n").join(known, "id", "left")
-              .withColumn("component", F.coalesce("component", "id")))
-    open_ = (placed.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("band", "hash"))
+    placed = members.where("members > 2").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     chunks = F.ceil(F.col("members") / CHUNK)
     mine = F.pmod(F.xxhash64("id"), chunks).cast("int")
     others = F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int")))
-    split = (placed.join(open_, ["band", "hash"], "left_semi").join(sketches, "id")
-             .select("band", "hash", "id", "n", "component", "sketch", mine.alias("chunk"), others.alias("other"))
+    split = (placed.join(open_, "key", "left_semi").join(leaders.select("id", "n", "low", "sketch"), "id")
+             .select("key", "id", "n", "component", "low", "sketch", mine.alias("chunk"), others.alias("other"))
              .withColumns({"ci": F.least("chunk", "other"), "cj": F.greatest("chunk", "other")}))
-    more = (split.groupBy("band", "hash", "ci", "cj").applyInArrow(cross_pairs(plan.least_estimate, plan.percent), "x long, y long")
+    more = (split.groupBy("key", "ci", "cj").applyInArrow(cross_pairs(plan.least_estimate, plan.percent), "x long, y long")
             .distinct().join(stars, ["x", "y"], "left_anti"))
-    more = durable(verified(more))
-    if not more.isEmpty():
-        known = components(links.union(more))
-    groups = (classes.join(known, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id")))
+    root = lambda k: known.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
+    joined = (verified(more).join(root("x"), "x", "left").join(root("y"), "y", "left")
+              .select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")))
+    top = components(joined).select(F.col("id").alias("near"), F.col("component").alias("top"))
+    groups = (classes.join(known, "id", "left").withColumn("near", F.coalesce("component", "id")).join(top, "near", "left")
+              .select("set_key", F.coalesce("top", "near").alias("component_id")))
     return (signed.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(groups, "set_key", "left")
             .withColumn("component_id", F.coalesce("component_id", "doc_id"))
             .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
