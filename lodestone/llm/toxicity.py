@@ -17,7 +17,7 @@ from lodestone.llm.common import ship, table
 #: Terms are hashed into so many places.
 PLACES = 1 << 22
 #: Bounds of the labelled sample that the model is fitted on: toxic and other rows, by a hash of doc_id.
-TOXIC_ROWS, OTHER_ROWS = 4000, 8000
+TOXIC_ROWS, OTHER_ROWS = 3000, 6000
 #: Terms that the model knows at most, those of them chosen by frequency (at most a 40th of the rows), and how far (in standard errors) the rates
 #: of a term must differ between the classes for the rest.
 TERMS, FREQUENT, DIFFERENCE = 2048, 192, 4.0
@@ -87,27 +87,31 @@ def fit(samples: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
     odds = lambda p: float(np.log(p / (1 - p)))
     if not len(y) or y.min() == y.max():
         return Machine(np.empty(0, np.int64), odds(min(max(share, 0.01), 0.99)), np.empty(0), np.empty((0, FACTORS)))
-    flat = np.concatenate(samples) if samples else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(samples)), [len(s) for s in samples])
+    flat = np.concatenate(samples).astype(np.uint32)
+    row = np.repeat(np.arange(len(samples), dtype=np.int32), [len(s) for s in samples])
     places, col, df = np.unique(flat, return_inverse=True, return_counts=True)
-    pos = np.bincount(col, weights=y[row], minlength=len(places))
+    del flat
+    col = col.astype(np.int32)
+    pos = np.bincount(col[y[row] > 0], minlength=len(places))
     p1, p0 = pos / y.sum(), (df - pos) / (len(y) - y.sum())
     rate = df / len(y)
     z = np.abs(p1 - p0) / np.sqrt(rate * (1 - rate) * (1 / y.sum() + 1 / (len(y) - y.sum())) + 1e-9)
     frequent = np.argsort(-df, kind="stable")[:min(FREQUENT, len(y) // 40)]  # no more than a small sample can bear
     telling = [i for i in np.argsort(-z, kind="stable")[:TERMS] if z[i] >= DIFFERENCE and df[i] >= 3]
     chosen = np.array(sorted({*frequent.tolist(), *telling[:TERMS - FREQUENT]}))
-    to = np.full(len(places), -1)
+    to = np.full(len(places), -1, np.int32)
     to[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(samples), len(chosen)), np.float32)
-    x[row[to[col] >= 0], to[col][to[col] >= 0]] = 1
+    col = to[col]
+    x = np.zeros((len(samples), len(chosen)), bool)
+    x[row[col >= 0], col[col >= 0]] = True
+    del row, col, to
     rng = np.random.default_rng(SEED)
     params = [np.array([odds(y.mean())]), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS))]
     m, s, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(len(y)), min(len(y), max(LEAST_BATCHES, len(y) // BATCH))):
             b, w, v = params
-            xb = x[rows]
+            xb = x[rows].astype(np.float32)
             sums = xb @ v
             logit = b + xb @ w + 0.5 * (sums * sums - xb @ (v * v)).sum(axis=1)
             g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[rows]) / len(rows)
@@ -118,7 +122,7 @@ def fit(samples: list[np.ndarray], y: np.ndarray, share: float) -> Machine:
                 s[i] = 0.99 * s[i] + 0.01 * d * d
                 params[i] = params[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-8)
     b, w, v = params
-    return Machine(places[chosen], float(b[0]) + odds(share) - odds(y.mean()), w, v)
+    return Machine(places[chosen].astype(np.int64), float(b[0]) + odds(share) - odds(y.mean()), w, v)
 
 
 def remainder(doc_id: Column) -> Column:
@@ -144,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT) -> Machi
              .select("toxic", "text").mapInArrow(terms_partition, "toxic int, terms binary"))
     got = texts.toArrow()
     rows = sorted(zip(got["toxic"].to_pylist(), got["terms"].to_pylist(), strict=True))
-    samples = [np.frombuffer(t, "<u4").astype(np.int64) for _, t in rows]
+    del got
+    samples = [np.frombuffer(t, "<u4") for _, t in rows]
     return fit(samples, np.array([y for y, _ in rows], float), min(max((pos + 0.1) / (n + 1), 1e-4), 1 - 1e-4))
 
 
