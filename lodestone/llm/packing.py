@@ -25,7 +25,7 @@ LOT = 1 << 22
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Units that a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 1_000_000, 48
+REMEMBERED, LONGEST = 300_000, 48
 
 
 def tokenizer(name: str):

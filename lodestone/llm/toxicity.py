@@ -23,7 +23,7 @@ TOXIC_ROWS, OTHER_ROWS = 3000, 6000
 TERMS, FREQUENT, DIFFERENCE = 2048, 192, 4.0
 FACTORS, EPOCHS, BATCH, LEAST_BATCHES, RATE, DECAY, SEED = 6, 14, 512, 16, 0.03, 3e-4, 5
 #: Words whose terms a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 THRESHOLD, HELD_OUT = 0.3, 2
 TERM = re.compile(r"[^\W_]+")
 
