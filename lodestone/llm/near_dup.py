@@ -202,7 +202,7 @@ def components(edges: DataFrame) -> DataFrame:
     nodes, so edges shrink fast and only the list of ids goes through every round. Rounds are kept by checkpoints.
     """
     edges = durable(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
-    labels = edges.select(F.explode(F.array("x", "y")).alias("id")).distinct().select("id", F.col("id").alias("component"))
+    labels = edges.select(F.col("x").alias("id")).union(edges.select("y")).distinct().select("id", F.col("id").alias("component"))
     while not edges.isEmpty():
         nodes = edges.union(edges.select("y", "x")).groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("parent"))
         nodes = durable(nodes)
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = durable(pairs)
-        wanted = filter_of(pairs.select(F.explode(F.array("x", "y")).alias("id")))
+        wanted = filter_of(pairs.select("x").unionAll(pairs.select("y")))
         sets = (rows.where("doc_id is not null").select("doc_id", "text", bit_of("doc_id"))
                 .mapInArrow(sets_partition(plan.words, wanted), "id long, shingles binary"))
         sets = durable(sets.join(leaders.select("id"), "id", "left_semi").dropDuplicates(["id"]))
