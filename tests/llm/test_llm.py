@@ -187,6 +187,17 @@ def test_spelling_model_is_a_distribution_over_bits():
     assert len({tuple(zip(nodes[b][:length[b]], bits[b][:length[b]])) for b in range(256)}) == 256
 
 
+def test_order_of_words_matters(spark):
+    """The same words shuffled get another score, and a copy of a training text a better one than its words shuffled."""
+    words_in = prose(300, 77).split()
+    copy, shuffled = " ".join(words_in), " ".join(random.Random(5).sample(words_in, len(words_in)))
+    held = [i for i in range(200) if context_mixing.held_out(i)]
+    rows = [(i, prose(300, 1000 + i) if i % 4 else copy, "en", "a", 0, "", "") for i in range(200) if i not in held]
+    rows += [(held[0], copy, "en", "a", 0, "", ""), (held[1], shuffled, "en", "a", 0, "", "")]
+    got = {r.doc_id: r.score for r in context_mixing.score_texts(spark.createDataFrame(rows, DOCS)).where("held_out").collect()}
+    assert got[held[0]] > got[held[1]] + 50
+
+
 # toxicity
 
 def test_toxicity_learns_pairs_that_weights_miss():
