@@ -67,9 +67,18 @@ z AS (SELECT item_id, regexp_replace(lower(regexp_replace(q, '[\pZ\s]+', ' ', 'g
 w AS (SELECT item_id, unnest(list_distinct(list_concat(list_transform(regexp_extract_all(q, '"([^"]+)"', 1), lambda p: trim(p)), list_filter(regexp_extract_all(q, '([a-z][a-z0-9_-]*\*?)', 1), lambda x: x NOT IN ('and', 'or', 'not'))))) AS atom FROM z)
 SELECT item_id, count(*) AS atoms, string_agg(atom, '|' ORDER BY atom) AS list FROM w GROUP BY 1""")
 def text_keyword_atoms(spark, d):
+    return _keyword_atoms(table(spark, d, "benchmark"), "item_id")
+
+
+@query()
+def text_keyword_atoms_documents(spark, d):
+    return _keyword_atoms(table(spark, d, "documents").where(F.col("text").isNotNull()), "doc_id")
+
+
+def _keyword_atoms(x: DataFrame, key: str) -> DataFrame:
     q = F.concat(F.lit('"'), F.get(F.split(F.lower("text"), " "), F.lit(0)), F.lit(' x" AND '), text.squeeze(F.col("text")))
     atoms = F.array_sort(text.keyword_atoms(q))
-    return table(spark, d, "benchmark").select("item_id", F.size(atoms).cast("long").alias("atoms"), F.array_join(atoms, "|").alias("list"))
+    return x.select(key, F.size(atoms).cast("long").alias("atoms"), F.array_join(atoms, "|").alias("list"))
 
 
 @query(r"""SELECT doc_id FROM documents WHERE (contains(lower(text), 'the') OR contains(lower(text), 'que')) AND NOT contains(lower(text), 'idiot')""")
@@ -85,7 +94,16 @@ SELECT w, CASE WHEN NOT ends_with(w, 's') THEN w WHEN ends_with(w, 'viruses') TH
   WHEN ends_with(w, 'es') AND NOT ends_with(w, 'aes') AND NOT ends_with(w, 'ees') AND NOT ends_with(w, 'oes') THEN CASE WHEN ends_with(w, 'sses') THEN w[:-3] ELSE w[:-2] END
   WHEN ends_with(w, 'us') OR ends_with(w, 'ss') THEN w ELSE w[:-2] END AS singular FROM u""")
 def text_singularize(spark, d):
-    w = table(spark, d, "benchmark").select(F.explode(text.split_tokens(F.col("text"))).alias("w")).where(F.col("w").rlike("^[a-zA-Z]+$")).distinct()
+    return _singular_words(table(spark, d, "benchmark"))
+
+
+@query()
+def text_singularize_documents(spark, d):
+    return _singular_words(table(spark, d, "documents"))
+
+
+def _singular_words(x: DataFrame) -> DataFrame:
+    w = x.select(F.explode(text.split_tokens(F.col("text"))).alias("w")).where(F.col("w").rlike("^[a-zA-Z]+$")).distinct()
     return w.select("w", text.singular(F.col("w")).alias("singular"))
 
 
@@ -96,10 +114,18 @@ l AS (SELECT item_id, term, i - 1 AS place FROM p WHERE substr(lower(text), i, l
 a AS (FROM h UNION ALL FROM l)
 SELECT item_id, term, count(*) AS places, CAST(arg_min(place, abs(place - 50) * 100000 + place) AS INTEGER) AS nearest FROM a GROUP BY 1, 2""")
 def text_occurrences(spark, d):
-    terms = F.explode(F.array(*[F.lit(t) for t in DICTIONARY])).alias("term")
-    x = table(spark, d, "benchmark").select("item_id", "text", terms)
-    x = x.select("item_id", "term", text.occurrences(F.col("text"), F.col("term")).alias("at")).where(F.size("at") > 0)
-    return x.select("item_id", "term", F.size("at").cast("long").alias("places"), text.nearest(F.col("at"), F.lit(50)).alias("nearest"))
+    return _term_places(table(spark, d, "benchmark"), "item_id")
+
+
+@query()
+def text_occurrences_documents(spark, d):
+    return _term_places(table(spark, d, "documents"), "doc_id")
+
+
+def _term_places(x: DataFrame, key: str) -> DataFrame:
+    x = x.select(key, "text", F.explode(F.array(*[F.lit(t) for t in DICTIONARY])).alias("term"))
+    x = x.select(key, "term", text.occurrences(F.col("text"), F.col("term")).alias("at")).where(F.size("at") > 0)
+    return x.select(key, "term", F.size("at").cast("long").alias("places"), text.nearest(F.col("at"), F.lit(50)).alias("nearest"))
 
 
 @query(r"""WITH m AS (SELECT doc_id, regexp_extract(text, '(\d+)', 1) AS x, regexp_extract(trim(text), 'PMC[\s:]*(\d+)', 1, 'i') AS c FROM documents)

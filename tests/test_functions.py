@@ -1,10 +1,12 @@
 import hashlib
+import re
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids, similarity, text
+from lodestone.plans import table_queries
 
 
 def values(spark, f, rows):
@@ -35,6 +37,31 @@ def test_occurrences_and_nearest(spark):
     assert (r.a, r.b, r.n) == ([2], [0, 1], 1)
 
 
+def test_text_queries_read_whole_documents(spark, tmp_path):
+    """Long, repeated, null and empty texts of documents, against brute force."""
+    long = "The cells, é😀 thethe Que classes 中文 bodies_viruses " * 2500
+    texts = [long, long, None, "", "IDIOT x", "und " * 3000 + "houses", "😀the"]
+    spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: [tuple(r) for r in table_queries.QUERIES[name](spark, str(tmp_path)).collect()]
+    want = []
+    for i, t in enumerate(texts):
+        for term in table_queries.DICTIONARY:
+            at = next((p for p in ([m.start() for m in re.finditer(f"(?={term})", x)] for x in (t or "", (t or "").lower())) if p), [])
+            if at:
+                want.append((i, term, len(at), min(at, key=lambda p: (abs(p - 50), p))))
+    assert sorted(run("text_occurrences_documents")) == sorted(want)
+    words = {w for t in texts for w in re.findall(r"[^\W_]+|[^\w\s]|_", t or "") if re.fullmatch("[a-zA-Z]+", w)}
+    got = dict(run("text_singularize_documents"))
+    assert set(got) == words and (got["bodies"], got["classes"], got["viruses"]) == ("body", "class", "virus")
+    atoms = {}
+    for i, t in enumerate(texts):
+        if t is not None:
+            low = f'"{t.lower().split(" ")[0]} x" and {t.lower()}'
+            found = {p.strip() for p in re.findall('"([^"]+)"', low)} | {w for w in re.findall(r"[a-z][a-z0-9_-]*\*?", low) if w not in ("and", "or", "not")}
+            atoms[i] = (len(found), "|".join(sorted(found)))
+    assert {i: (n, x) for i, n, x in run("text_keyword_atoms_documents")} == atoms
+
+
 def test_node_and_edge_ids(spark):
     e = spark.sql("select named_struct('obj', 'Protein', 'gene_id', ' 101 ', 'mention', 'm') e")
     who = ids.node_identity(F.col("e"), ["obj", "gene_id", "mention"])
