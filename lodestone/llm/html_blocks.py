@@ -30,6 +30,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of these names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
+#: Block elements that may stand in a head; any other ends it, as its end tag is optional.
+IN_HEAD = frozenset("script style title noscript template".split())
 
 PATH, TAIL, WORDS, SHAPE = 96, 48, 24, 10
 INPUT, HIDDEN = PATH + TAIL + WORDS + SHAPE, 24
@@ -98,6 +100,9 @@ def blocks_of(page: str | None) -> list[Block]:
                 while stack.pop()[0] != name:
                     pass
         elif name not in VOID and not rest.rstrip().endswith("/"):
+            heads = [i for i, x in enumerate(stack) if x[0] == "head"]
+            if heads and name not in IN_HEAD:
+                del stack[heads[0]:]
             ends = ENDS.get(name, {"p"})
             while stack and stack[-1][0] in ends:
                 stack.pop()

@@ -152,6 +152,13 @@ def test_block_text():
     assert html_blocks.blocks_of(None) == [] and html_blocks.blocks_of("<") != None  # noqa: E711
 
 
+def test_head_without_end_tag():
+    for page in ("<html><head><title>x</title><meta a=b><body><p>One two.</p>", "<head><link a=b><div>One two.</div>"):
+        got = html_blocks.blocks_of(page)
+        assert [b.text for b in got] == ["One two."] and got == html_blocks.blocks_of(page.replace("<body>", "</head><body>").replace("<div>", "</head><div>"))
+    assert html_blocks.blocks_of("<head><title>x</title><script>y</script>z</head>") == []
+
+
 def test_extract_text_of_odd_pages(spark):
     page = "<html><nav><a href=1>x</a></nav><article><h1>T</h1><p>One two three four.</p></article><footer>f</footer>"
     df = spark.createDataFrame([(0, "u", None, "z"), (1, "u", "", "z"), (2, None, page, "z"), (2, None, page, "z")], "page_id long, url string, html string, text string")
