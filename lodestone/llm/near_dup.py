@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, ship, table
+from lodestone.llm.common import WORD, counted, discard, durable, looked_up, ship, table
 
 #: Slots that shingle hashes fall into before they are permuted; the second permutation is a table of this length.
 SLOTS = 1 << 22
@@ -26,6 +26,8 @@ SKETCH, ERRORS = 768, 4.0
 FILTER, ROW = 1 << 23, 1 << 15
 #: Members of a bucket that are compared with one another in one task.
 CHUNK = 512
+#: A bucket's hubs are its smallest ids as they stand and after each of these bits is turned over.
+ORDERS = (0x2A5F1C3B97D4E68B, 0x55E3C06A71B82D9F)
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,7 @@ def signature(shingles: np.ndarray, length: int) -> np.ndarray:
     return least
 
 
-SIGNED = "doc_id long, n long, set_key binary, bands array<long>, low binary, sketch binary"
+SIGNED = "doc_id long, k1 long, k2 long, n long, set_key binary, bands array<long>, sketch binary"
 
 
 def sign_partition(plan: Plan) -> Callable:
@@ -96,36 +98,35 @@ def sign_partition(plan: Plan) -> Callable:
         length = max(plan.bands * plan.rows, SKETCH)
         salt = mixed(np.arange(1, plan.bands * plan.rows + 1, dtype=np.uint64)).reshape(plan.bands, plan.rows)
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows: tuple[list, ...] = ([], [], [], [])
+            for text in batch.column(3):
                 s = shingle_set(text.as_py(), plan.words)
-                rows[0].append(doc_id)
-                rows[1].append(len(s))
+                rows[0].append(len(s))
                 if not len(s):
-                    for r in rows[2:]:
+                    for r in rows[1:]:
                         r.append(None)
                     continue
                 sig = signature(s, length)
                 bands = mixed((mixed(sig[:salt.size].astype(np.uint64).reshape(salt.shape) + salt)).sum(axis=1, dtype=np.uint64) + salt[:, 0])
-                rows[2].append(xxhash.xxh3_128_digest(s.tobytes()))
-                rows[3].append(bands.view(np.int64))
-                rows[4].append(bands.astype(np.uint32).tobytes())
-                rows[5].append(sig[:SKETCH].astype(np.uint8).tobytes())
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)],
+                rows[1].append(xxhash.xxh3_128_digest(s.tobytes()))
+                rows[2].append(bands.view(np.int64))
+                rows[3].append(sig[:SKETCH].astype(np.uint8).tobytes())
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))],
                                              names=[x.split()[0] for x in SIGNED.split(", ")])
     return run
 
 
 def sets_partition(words: int, wanted: np.ndarray) -> Callable:
-    """Sets of the texts whose id's bit is on in the filter (a few others may come along)."""
+    """Sets of the texts (k1, k2, text, bit) whose bit is on in the filter (a few others may come along)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy()
+            bit = batch.column(3).to_numpy()
             batch = batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7)) & 1 == 1))
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                yield pa.record_batch([part.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column(1)], pa.binary())], names=["id", "shingles"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column(2)], pa.binary())],
+                                      names=["k1", "k2", "shingles"])
     return run
 
 
@@ -170,23 +171,22 @@ def verify_partition(percent: int) -> Callable:
 
 
 def cross_pairs(least: float, percent: int) -> Callable:
-    """Of one pair of chunks of a bucket, the pairs of different components that may be alike; a pair that shares
-    several buckets comes from the first of them only."""
+    """Of a chunk of a bucket's members and a chunk of its guests, the pairs of different components that may be alike.
+
+    Pairs of two guests come from the lesser one's visit; a pair that shares several buckets from the first of them.
+    """
     def run(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
-        chunk, ids, n, group = (part[c].to_numpy() for c in ("chunk", "id", "n", "component"))
+        guest, minor, ids, n, group = (part[c].to_numpy() for c in ("guest", "minor", "id", "n", "component"))
         sketch = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-        low = np.frombuffer(b"".join(part["low"].to_pylist()), np.uint32).reshape(len(ids), -1)
-        band = np.flatnonzero(low[0] == np.uint32(part["key"][0].as_py() & 0xFFFFFFFF))[0]
-        ci, cj = part["ci"][0].as_py(), part["cj"][0].as_py()
-        left = np.flatnonzero(chunk == ci)
-        right = left if ci == cj else np.flatnonzero(chunk == cj)
+        bands = part["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        band = np.flatnonzero(bands[0] == part["key"][0].as_py())[0]
+        home = np.flatnonzero(~guest)
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in left:
-            fits = right[(group[right] != group[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if ci == cj:
-                fits = fits[ids[fits] > ids[i]]
-            fits = fits[~(low[fits, :band] == low[i, :band]).any(axis=1)]
+        for i in np.flatnonzero(guest):
+            fits = home[(group[home] != group[i]) & (100 * np.minimum(n[home], n[i]) >= percent * np.maximum(n[home], n[i]))]
+            fits = fits[~minor[fits] | (ids[fits] > ids[i])]
+            fits = fits[~(bands[fits, :band] == bands[i, :band]).any(axis=1)]
             fits = fits[(sketch[fits] == sketch[i]).mean(axis=1) >= least]
             if len(fits):
                 out.append((np.maximum(ids[i], ids[fits]), np.minimum(ids[i], ids[fits])))
@@ -195,94 +195,177 @@ def cross_pairs(least: float, percent: int) -> Callable:
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """id, component (the smallest id reachable) for every id in edges (x, y).
 
-    Each round joins every node to its smallest neighbour and contracts the edges to what is left between the new
-    nodes, so edges shrink fast and only the list of ids goes through every round. Rounds are kept by checkpoints.
+    In each round every node hooks on to its smallest neighbour, pointer jumping brings each to the root of its tree,
+    and the edges are contracted to those left between roots. A root either takes in all its neighbours or meets a
+    smaller one, so two rounds at least halve the nodes, and jumps double the height that they climb: the number of
+    tables made is logarithmic. A node known to hang from a root takes no part in further jumps. The rounds' maps,
+    each smaller than the one before, are put together at the end. `rounds` gets the number of jumps of every round.
+    """
+    edges, left = counted(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
+    maps = []
+    while left or not maps:
+        both = edges.union(edges.select("y", "x"))
+        hooks = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("up")).select("node", F.least("node", "up").alias("up"))
+        hooks, moving = counted(hooks.withColumn("done", F.col("node") == F.col("up")), "not done")
+        jumps = 0
+        while moving:  # up is an ancestor; done if that is a root
+            over = looked_up(hooks.where("not done"), hooks.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", total=moving)
+            over = over.select("node", F.col("top").alias("up"), (F.col("up") == F.col("top")).alias("done"))
+            old = hooks
+            hooks, moving = counted(over.union(hooks.where("done")), "not done")
+            discard(old)
+            jumps += 1
+        maps.append(hooks.drop("done"))
+        if rounds is not None:
+            rounds.append(jumps)
+        up = lambda c, to: hooks.select(F.col("node").alias(c), F.col("up").alias(to))
+        over = looked_up(looked_up(edges, up("x", "a"), "x", total=left), up("y", "b"), "y", many=held(edges, "y"), total=left)
+        old = edges
+        edges, left = counted(over.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
+        discard(old)
+    out = maps.pop()
+    for m in reversed(maps):
+        out = durable(looked_up(m, out.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("up")))
+    return out.select(F.col("node").alias("id"), F.col("up").alias("component"))
+
+
+def held(rows: DataFrame, key: str) -> DataFrame:
+    """How many rows each key holds, as looked_up() takes it."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("__many"))
+
+
+def text_keys(text: Column) -> list[Column]:
+    """Two 64-bit hashes that stand for a text; a null text is empty."""
+    given = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(given, F.lit(s)).alias(f"k{s}") for s in (1, 2)]
+
+
+def grouped(docs: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id, k1, k2 (of the text), n, component (null for texts without words) and component_id of every row."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text")), F.col("text").cast("string").alias("text"))
+    signed = durable(rows.mapInArrow(sign_partition(plan), SIGNED).withColumn("row", F.monotonically_increasing_id()))
+    # one class per distinct set, named by one of its rows; only that row goes on
+    classes, n_classes = counted(signed.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("id"), F.min("doc_id").alias("lead")))
+    banded = signed.select(F.col("row").alias("id"), "bands").join(classes.select("id"), "id", "left_semi").select(F.explode("bands").alias("key"), "id")
+    shared = durable(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    many = shared.select("key", F.col("members").alias("__many"))
+    members, n_members = counted(looked_up(banded, shared, "key", many=many, total=plan.bands * n_classes))
+    other = lambda salt: F.min(F.col("id").bitwiseXOR(F.lit(salt))).bitwiseXOR(F.lit(salt))
+    hubs = members.groupBy("key").agg(F.array_distinct(F.array(F.min("id"), *map(other, ORDERS))).alias("hubs"))
+    stars = (looked_up(members, hubs, "key", many=many, total=n_members).select("id", F.explode("hubs").alias("hub")).where("id <> hub")
+             .select(F.greatest("id", "hub").alias("x"), F.least("id", "hub").alias("y")).distinct())
+
+    def beside(pairs: DataFrame, n: int, of: Callable) -> DataFrame:
+        left = looked_up(pairs, of("x"), "x", total=n)
+        return looked_up(left, of("y"), "y", many=held(pairs, "y"), total=n)
+
+    def alike(pairs: DataFrame, n: int) -> DataFrame:
+        of = lambda k: signed.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+        return beside(pairs, n, of).select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(alike_partition(plan.least_estimate, plan.percent), "x long, y long")
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, int]:
+        pairs, n = counted(pairs)
+        if not n:
+            return pairs, 0
+        ids = pairs.select(F.col("x").alias("row")).union(pairs.select("y")).distinct()
+        texts = durable(signed.select("row", "k1", "k2").join(ids, "row", "left_semi"))
+        wanted = filter_of(texts.select("k1"))
+        sets = rows.select("k1", "k2", "text", bit_of("k1")).mapInArrow(sets_partition(plan.words, wanted), "k1 long, k2 long, shingles binary")
+        sets = durable(sets.join(texts, ["k1", "k2"]).dropDuplicates(["row"]).select("row", "shingles"))
+        of = lambda k: sets.select(F.col("row").alias(k), F.col("shingles").alias(f"s{k}"))
+        return counted(beside(pairs, n, of).select("x", "y", "sx", "sy").mapInArrow(verify_partition(plan.percent), "x long, y long"))
+
+    stars, n = counted(stars)
+    known = components(verified(alike(stars, n))[0])
+    tops = durable(classes.select("id").join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    for last in (False, True):
+        placed = members.where("members > 2").join(tops, "id")
+        parts = durable(placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("rep")))
+        open_ = parts.groupBy("key").agg(F.max(F.struct("size", "component", "rep")).alias("major"), F.count(F.lit(1)).alias("groups"),
+                                         F.sum("size").alias("members")).where("groups > 1")
+        open_, n = counted(open_.select("key", "members", F.col("major.component").alias("major"), F.col("major.rep").alias("hub"), (F.col("members") - F.col("major.size")).alias("minors")))
+        if not n:
+            break
+        if last:
+            more = open_pairs(placed, open_, signed, plan).distinct().join(stars, ["x", "y"], "left_anti")
+        else:  # one of each component first
+            reps = looked_up(parts.select("key", "component", "rep"), open_, "key").where("component <> major")
+            reps, n = counted(reps.select(F.greatest("rep", "hub").alias("x"), F.least("rep", "hub").alias("y")).distinct().join(stars, ["x", "y"], "left_anti"))
+            more = alike(reps, n)
+            stars = stars.union(reps)
+        links, n = verified(more)
+        if n:
+            root = lambda k: tops.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
+            joined = links.join(root("x"), "x").join(root("y"), "y").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
+            up = components(joined).select(F.col("id").alias("component"), F.col("component").alias("top"))
+            tops = durable(looked_up(tops, up, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
+    named = durable(classes.join(tops, "id").select("set_key", "component", "lead"))
+    leads = named.groupBy("component").agg(F.min("lead").alias("component_id"))
+    named = looked_up(named.select("component", "set_key"), leads, "component").select("set_key", "component", "component_id")
+    small = signed.select("set_key", "doc_id", "k1", "k2", "n", "row")
+    return (looked_up(small, named, "set_key", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+            .select("doc_id", "k1", "k2", "n", "component", "component_id"))
+
+
+def open_pairs(placed: DataFrame, open_: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs across components of the buckets that hold several, which may be alike.
+
+    Two members of the bucket's largest component need no comparison, so only the others (guests) visit. Members and
+    guests are cut into chunks of at most about CHUNK; a task compares one chunk of each. With few guests beside a large
+    component a bucket costs each member once.
     """
-    edges = durable(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
-    labels = edges.select(F.col("x").alias("id")).union(edges.select("y")).distinct().select("id", F.col("id").alias("component"))
-    while not edges.isEmpty():
-        nodes = edges.union(edges.select("y", "x")).groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("parent"))
-        nodes = durable(nodes)
-        up = lambda c, to: nodes.select(F.col("node").alias(c), F.col("parent").alias(to))
-        labels = durable(labels.join(up("component", "parent"), "component", "left").select("id", F.coalesce("parent", "component").alias("component")))
-        edges = durable(edges.join(up("x", "a"), "x").join(up("y", "b"), "y").where("a <> b")
-                        .select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
-    return labels
+    chunks = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
+    of = lambda salt, c: F.pmod(F.xxhash64("id", F.lit(salt)), chunks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), chunks(c) - 1))
+    rows = (looked_up(placed.select("key", "id", "component"), open_, "key").withColumn("minor", F.col("component") != F.col("major"))
+            .join(signed.select(F.col("row").alias("id"), "n", "bands", "sketch"), "id"))
+    home = rows.withColumns({"ci": of("home", "members"), "cj": every("minors"), "guest": F.lit(False)})
+    guests = rows.where("minor").withColumns({"cj": of("guest", "minors"), "ci": every("members"), "guest": F.lit(True)})
+    columns = ["key", "ci", "cj", "guest", "minor", "id", "n", "component", "bands", "sketch"]
+    return home.select(*columns).union(guests.select(*columns)).groupBy("key", "ci", "cj").applyInArrow(cross_pairs(plan.least_estimate, plan.percent), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
-    Documents with the same set of shingles are one class, led by its smallest doc_id; only leaders go on. In each
-    bucket of a band every leader is compared with three hubs (the smallest under three orders), which links most of a
-    large group without all its pairs. Then, in buckets whose members are still in different components, the pairs
-    across components are compared too, so that no link that joins components is lost. A link is drawn when the full
-    sets of both texts are alike. Texts without words (or null) have no shingles and stay alone. Rows that share a
-    doc_id are one document of the classes of its texts. A null doc_id never leads others. Empty tables give no rows.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = durable(rows.mapInArrow(sign_partition(plan), SIGNED))
-    classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    leaders = (signed.join(classes.withColumnRenamed("set_key", "key"), (F.col("doc_id") == F.col("id")) & (F.col("set_key") == F.col("key")))
-               .select("id", "n", "bands", "low", "sketch").dropDuplicates(["id"]))
-    leaders = durable(leaders)
-    banded = leaders.select(F.explode("bands").alias("key"), "id")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = durable(banded.join(shared, "key"))
-    salted = lambda s: F.min(F.struct(F.xxhash64("id", F.lit(s)), F.col("id")))["id"]
-    hubs = members.groupBy("key").agg(F.array_distinct(F.array(F.min("id"), salted(1), salted(2))).alias("hubs"))
-    stars = (members.join(hubs, "key").select("id", F.explode("hubs").alias("hub")).where("id <> hub")
-             .select(F.greatest("id", "hub").alias("x"), F.least("id", "hub").alias("y")).distinct())
+    Rows with the same set of shingles are one class; one row of each goes on. In each bucket of a band every class is
+    compared with three hubs (the smallest under three orders), which links most of a large group without all its
+    pairs. Then, in buckets whose members are still in different components, one of each component is compared with
+    one of the largest, and at last all pairs across components, so that no link that joins components is lost. A link
+    is drawn when the full sets of both texts are alike. component_id is the smallest doc_id of the component.
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        of = lambda k: leaders.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-        return (pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "nx", "ny", "sx", "sy")
-                .mapInArrow(alike_partition(plan.least_estimate, plan.percent), "x long, y long"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs)
-        wanted = filter_of(pairs.select("x").unionAll(pairs.select("y")))
-        sets = (rows.where("doc_id is not null").select("doc_id", "text", bit_of("doc_id"))
-                .mapInArrow(sets_partition(plan.words, wanted), "id long, shingles binary"))
-        sets = durable(sets.join(leaders.select("id"), "id", "left_semi").dropDuplicates(["id"]))
-        of = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}"))
-        return (pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "sx", "sy")
-                .mapInArrow(verify_partition(plan.percent), "x long, y long"))
-
-    stars = durable(stars)
-    links = durable(verified(alike(stars)))
-    known = components(links)
-    placed = members.where("members > 2").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    chunks = F.ceil(F.col("members") / CHUNK)
-    mine = F.pmod(F.xxhash64("id"), chunks).cast("int")
-    others = F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int")))
-    split = (placed.join(open_, "key", "left_semi").join(leaders.select("id", "n", "low", "sketch"), "id")
-             .select("key", "id", "n", "component", "low", "sketch", mine.alias("chunk"), others.alias("other"))
-             .withColumns({"ci": F.least("chunk", "other"), "cj": F.greatest("chunk", "other")}))
-    more = (split.groupBy("key", "ci", "cj").applyInArrow(cross_pairs(plan.least_estimate, plan.percent), "x long, y long")
-            .distinct().join(stars, ["x", "y"], "left_anti"))
-    root = lambda k: known.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
-    joined = (verified(more).join(root("x"), "x", "left").join(root("y"), "y", "left")
-              .select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")))
-    top = components(joined).select(F.col("id").alias("near"), F.col("component").alias("top"))
-    groups = (classes.join(known, "id", "left").withColumn("near", F.coalesce("component", "id")).join(top, "near", "left")
-              .select("set_key", F.coalesce("top", "near").alias("component_id")))
-    return (signed.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(groups, "set_key", "left")
-            .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-            .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
+    Texts without words (or null) have no shingles and stay alone. Rows that share a doc_id but not the text are
+    separate; so are rows with a null doc_id, which never lead others: their component_id is null if no row of the
+    component has a doc_id, and they are never `kept`. Empty tables give no rows; other columns are ignored.
+    """
+    return grouped(docs, plan).select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+                                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """The documents that stay: one row of each group; every column of the input."""
-    kept = near_duplicates(docs, plan).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that stay: one of each group of near copies, with every column of the input, whatever its name.
+
+    The row with the smallest doc_id stays (null last), of several with that doc_id the one whose text has the least
+    hash, of several with that text too the one with the least hash over all columns. Rows with a null doc_id belong to
+    their text's group like others. Rows whose text is null or has no words all stay. An empty table gives no rows.
+    """
+    keys = ["__null", "__id", "k1", "k2"]
+    id_ = F.col("doc_id").cast("long")
+    of_id = {"__null": id_.isNull(), "__id": F.coalesce(id_, F.lit(0))}
+    per = grouped(docs, plan).where("component is not null").withColumns(of_id).groupBy("component", *keys).agg(F.count(F.lit(1)).alias("__rows"))
+    best = per.groupBy("component").agg(F.min(F.struct(*keys)).alias("best")).select("best.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    packed = docs.select(F.struct(*columns).alias("__row"), F.xxhash64(*plain).alias("__hash"), *[c.alias(k) for k, c in of_id.items()], *text_keys(F.col("text")),
+                         F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD).alias("__words"))
+    one = packed.where("__words").groupBy(*keys).agg(F.min_by("__row", "__hash").alias("__row"))
+    stay = one.join(best, keys, "left_semi").select("__row").union(packed.where("not __words").select("__row"))
+    return stay.select("__row.*")
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
