@@ -27,29 +27,33 @@ class Tree:
         return 1.0 if self.weights is None else self.weights[shard]
 
 
-def draw(key: Column, shard: Column, weight: Column) -> Column:
-    """Arrival time of a key at a shard: exponential with the shard's weight, from a hash of both.
+def draw(key: Column, level: str, node: Column, weight: Column) -> Column:
+    """Arrival time of a key at a node: exponential with the node's weight, from a hash of key, level and node.
 
     Weight 0 never wins.
     """
-    u = (F.shiftrightunsigned(F.xxhash64(key, shard), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(level), node), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
     return F.when(weight > 0, -F.ln(u) / weight).otherwise(F.lit(float("inf")))
 
 
 def descend(key: Column, tree: Tree) -> Column:
-    """The shard of a key: the region that arrives first, in it the rack, in that the shard.
+    """The shard of a key: the region that it arrives at first, in that the rack, in that the shard.
 
-    A node arrives when the first of its shards does, which has just the law of one exponential draw with the
-    node's whole weight. So a changed weight moves keys only out of or into the subtree it lies in; and a new shard,
-    which leaves all other arrivals as they are, takes keys only into itself, at every level. (Draws made per node
-    anew would spread a heavier region's gain over its old shards too.)
+    Each level draws anew among the children of the node chosen before, each child with the weight of all its shards.
+    So a key leaves a node's children as they are unless a weight below that node changes, and then moves only between
+    that child and the others: a new region takes keys only into itself. Ties go to the smaller number.
     """
-    leaf = lambda s: F.struct(F.lit(s).alias("shard"), F.lit(float(tree.weight(s))).alias("weight"))
-    regions = F.array(*[F.array(*[F.array(*[leaf(s) for s in rack]) for rack in region]) for region in tree.regions()])
-    arrive = lambda s: F.struct(draw(key, s["shard"], s["weight"]).alias("at"), s["shard"].alias("shard"))
-    by_rack = lambda rack: F.array_min(F.transform(rack, arrive))
-    by_region = lambda region: F.array_min(F.transform(region, by_rack))
-    return F.array_min(F.transform(regions, by_region))["shard"]
+    regions = tree.regions()
+    racks = [rack for region in regions for rack in region]
+    heavy = lambda shards: float(sum(tree.weight(s) for s in shards))
+    node = lambda n, w: F.struct(F.lit(n).alias("node"), F.lit(w).alias("weight"))
+    numbers = iter(range(len(racks)))
+    of_region = F.array(*[F.array(*[node(next(numbers), heavy(rack)) for rack in region]) for region in regions])
+    of_rack = F.array(*[F.array(*[node(s, float(tree.weight(s))) for s in rack]) for rack in racks])
+    first = lambda level, children: F.array_min(F.transform(children, lambda c: F.struct(draw(key, level, c["node"], c["weight"]).alias("at"), c["node"].alias("node"))))["node"]
+    region = first("region", F.array(*[node(i, heavy([s for rack in r for s in rack])) for i, r in enumerate(regions)]))
+    rack = first("rack", F.get(of_region, region))
+    return first("shard", F.get(of_rack, rack))
 
 
 def place(docs: DataFrame, tree: Tree, grown: Tree) -> DataFrame:
@@ -65,11 +69,16 @@ def place(docs: DataFrame, tree: Tree, grown: Tree) -> DataFrame:
         descend(key, grown).cast("int").alias("grown_shard"))
 
 
+#: Equal rows that one task numbers.
+TOGETHER = 10_000
+
+
 def slots(rows: DataFrame, per_group: int = 20_000, shards: int = 40) -> DataFrame:
     """Number the rows of each shard from 0 without gaps, in order of a hash of the key.
 
-    A shard's rows are cut into ranges of the hash, of about per_group rows; ranges are counted, the counts summed
-    along the shard, and rows numbered inside their range. So no task holds a whole shard.
+    Equal rows are counted first, and given a run of numbers, so neither a null nor a repeated doc_id piles up. A
+    shard's rows are cut into ranges of the hash, of about per_group rows; ranges are counted, the counts summed along
+    the shard, and rows numbered inside their range. So no task holds a whole shard.
     """
     n = rows.count()
     groups = 1
@@ -77,15 +86,17 @@ def slots(rows: DataFrame, per_group: int = 20_000, shards: int = 40) -> DataFra
         groups *= 2
     bits = groups.bit_length() - 1
     cut = F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("__g", cut)
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__same")).withColumn("__g", cut)
     before = Window.partitionBy("shard").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (rows.groupBy("shard", "__g").agg(F.count(F.lit(1)).alias("__n"))
+    starts = (rows.groupBy("shard", "__g").agg(F.sum("__same").alias("__n"))
               .select("shard", "__g", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from")))
     order = [F.shiftleft("__h", bits) if bits else F.col("__h"), F.col("doc_id"), F.col("size"), F.col("text_crc32")]
-    own = Window.partitionBy("shard", "__g").orderBy(*order)
-    return (rows.join(starts, ["shard", "__g"])
-            .withColumn("slot", F.col("__from") + F.row_number().over(own) - 1)
-            .drop("__g", "__from", "__h"))
+    own = Window.partitionBy("shard", "__g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(starts, ["shard", "__g"]).withColumn("__from", F.col("__from") + F.sum("__same").over(own) - F.col("__same"))
+    few = rows.where(F.col("__same") <= TOGETHER).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__same") - 1)))
+    many = rows.where(F.col("__same") > TOGETHER).withColumn("__lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("__same") - 1) / TOGETHER))))
+    many = many.repartition("__lot", "__h").withColumn("__i", F.explode(F.sequence(F.col("__lot") * TOGETHER, F.least(F.col("__same"), (F.col("__lot") + 1) * TOGETHER) - 1))).drop("__lot")
+    return few.unionByName(many).withColumn("slot", F.col("__from") + F.col("__i")).drop("__g", "__from", "__h", "__same", "__i")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, weights: tuple[float, ...] | None = None) -> DataFrame:
