@@ -2,45 +2,62 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shuffle_partitions, table
+from lodestone.llm.common import WORD, shuffle_partitions, table
 
 #: Words in a gram, and grams in a window (a power of two). Any run of GRAM + WINDOW - 1 words that two texts share
 #: gives them a fingerprint in common.
 GRAM, WINDOW = 3, 4
-#: Low bits of a packed value hold the place, counted down, so that of equal hashes the rightmost is least.
-PLACE_BITS = 24
 
 
 def pieces(text: Column) -> Column:
-    """The units that grams are made of: words, of at most 16 code points (longer ones are cut)."""
-    return F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]{1,16})"))
+    """The units that grams are made of: whole words."""
+    return F.regexp_extract_all(text, F.lit(f"({WORD})"))
+
+
+def turned(h: Column, k: int) -> Column:
+    """A 64-bit word turned left by k bits."""
+    return h if k == 0 else F.shiftleft(h, k).bitwiseOR(F.shiftrightunsigned(h, 64 - k))
 
 
 def gram_hashes(units: Column, gram: int = GRAM) -> Column:
-    """Hashes of all runs of `gram` units; a shorter text is one run."""
-    at = lambda i, k: F.try_element_at(units, i + F.lit(k))  # noqa: E731  past the end: null, which the hash skips
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(units) - (gram - 1), F.lit(1))),
-                       lambda i: F.xxhash64(*[at(i, k) for k in range(gram)]))
+    """Rolling hashes of all runs of `gram` units; a shorter text is one run.
+
+    Every unit is hashed once. A run's hash is the cyclic polynomial of its units' hashes: each turned by its distance
+    from the run's end, all of them combined by exclusive or. As the window rolls, what was combined is turned by one.
+    """
+    h = F.transform(units, lambda w: F.xxhash64(w))
+    out = F.transform(h, lambda x: turned(x, gram - 1))
+    for left in range(gram - 2, -1, -1):  # by how much the next unit is turned
+        later = F.slice(h, gram - left, F.greatest(F.size(h), F.lit(1)))
+        out = F.zip_with(out, later, lambda x, y: x.bitwiseXOR(F.coalesce(turned(y, left), F.lit(0).cast("long"))))  # noqa: B023
+    return F.slice(out, 1, F.greatest(F.size(h) - (gram - 1), F.lit(1)))
 
 
 def winnow(hashes: Column, window: int = WINDOW) -> Column:
     """Places (from 0) of the least hash of every window, the rightmost of ties, each place once, ascending.
 
     With fewer hashes than a window has, the window is what there is. Minima over windows come from minima over half
-    the length, so that a place costs log2(window) steps.
+    the length, so that a place costs log2(window) steps; then the last place in the window that holds the minimum is
+    looked for from its end.
     """
-    top = (1 << PLACE_BITS) - 1
-    packed = F.transform(hashes, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS + 1), PLACE_BITS)
-                         .bitwiseOR(F.lit(top).cast("long") - i.cast("long").bitwiseAND(F.lit(top).cast("long"))))
-    width, least = 1, packed
+    width, least = 1, hashes
     while width < window:
         least = F.zip_with(least, F.slice(least, width + 1, F.greatest(F.size(least), F.lit(1))), lambda x, y: F.least(x, y))
         width *= 2
     least = F.slice(least, 1, F.greatest(F.size(hashes) - (window - 1), F.lit(1)))
-    return F.transform(F.array_distinct(least), lambda x: (F.lit(top).cast("long") - x.bitwiseAND(F.lit(top).cast("long"))).cast("int"))
+
+    def last(m: Column, i: Column) -> Column:
+        found = F.when(F.get(hashes, i + (window - 1)) == m, i + (window - 1))
+        for k in range(window - 2, -1, -1):
+            found = found.when(F.get(hashes, i + k) == m, i + k)
+        return found
+
+    return F.array_distinct(F.transform(least, last))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -63,6 +80,18 @@ def written(places: str, marks: str) -> Column:
     return F.array_join(F.zip_with(places, marks, lambda p, h: F.concat(p.cast("string"), F.lit(":"), F.lower(F.hex(h)))), " ")
 
 
+def bucket_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at most a value: first among every sqrt(n)-th of them, then inside."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    at_most = lambda xs: F.size(F.filter(xs, lambda c: c <= value))
+    coarse = at_most(longs(cuts[step - 1::step]))
+    fine = F.array(*[longs(cuts[a:a + step - 1]) if cuts[a:a + step - 1] else F.array().cast("array<bigint>") for a in range(0, len(cuts) + 1, step)])
+    return coarse * step + at_most(F.get(fine, coarse))
+
+
 def next_texts(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, text, __bucket, __guest, and next_text: the text of the next row by descending doc_id, after the last
     the first; rows of one doc_id stand by text.
@@ -77,8 +106,7 @@ def next_texts(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = docs.agg(F.percentile_approx("__id", [i / buckets for i in range(1, buckets)], 10 * buckets)).head()[0] or []
     cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    docs = docs.withColumn("__bucket", F.size(F.filter(bounds, lambda c: c <= F.col("__id"))))
+    docs = docs.withColumn("__bucket", bucket_of(F.col("__id"), cuts))
     heads = docs.select("__id", "__bucket").groupBy("__bucket").agg(F.max("__id").alias("__id"))
     order = Window.orderBy("__bucket")
     above = F.lead("__bucket").over(order)
@@ -95,7 +123,7 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDO
 
     A null text is empty; its fingerprint is the empty string, like that of white space only; two empty fingerprints
     have likeness 1. A single row is its own next one. Repeated rows count each. An empty table gives no rows; other
-    columns of the input are ignored. Fingerprints compare words as they stand; positions wrap at 2^24 words.
+    columns of the input are ignored. Fingerprints compare words as they stand, whole and with all 64 bits of a hash.
     """
     rows, own = next_texts(docs)
     n = F.length("text")
