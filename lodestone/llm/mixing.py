@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, table, word_count
+from lodestone.llm.common import WORD, durable, table, word_count
 
 WEIGHTS = (5, 2, 1)
 #: No source may be taken more often than this, nor any of its documents.
@@ -41,40 +41,50 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
                       F.coalesce(share, F.col("cap").cast("double")).alias("target"))
 
 
-def quotas(src: DataFrame) -> DataFrame:
-    """Give out blocks by highest quotients target / (2 s - 1), s = 1, 2, ...: adds block and quota.
+def apportioned(df: DataFrame, share: str, seats: str, order: str, by: list[str]) -> DataFrame:
+    """Sainte-Laguë: of the seats of each group `by` (all rows, if empty), the rows take those with the highest quotients
+    share / (2 s - 1), s = 1, 2, ..., ties to the smaller order. Adds won.
 
-    All seats but a few per source are sure: those won at a divisor that gives out too few, and those lost at one
-    that gives out too many. Only the rows between, about two per source, are ranked.
+    All seats but a few per row are sure: those won at a divisor that gives out too few, and those lost at one that
+    gives out too many. Only the seats between, about two per row, are ranked.
     """
-    everything = Window.partitionBy()
-    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
-    src = (src.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(LONGEST_BLOCK), F.floor(F.coalesce(least, F.lit(0.0)) / FINENESS))).cast("long"))
-           .withColumn("blocks", F.floor(F.col("total") / F.col("block") + 0.5))
-           .withColumn("n", F.count(F.lit(1)).over(everything)))
+    group = Window.partitionBy(*by)
+    df = df.withColumn("__n", F.count(F.lit(1)).over(group)).withColumn("__all", F.sum(share).over(group))
+
+    def given(count: Column) -> Column:
+        part = F.when(F.col("__all") > 0, F.col(share) * F.greatest(count, F.lit(0.0)) / F.col("__all")).otherwise(0.0)
+        return F.floor(part + 0.5)
 
-    def seats(blocks: Column) -> Column:
-        share = F.when(F.col("total") > 0, F.col("target") * F.greatest(blocks, F.lit(0.0)) / F.col("total")).otherwise(0.0)
-        return F.floor(share + 0.5)
+    df = (df.withColumn("__sure", given(F.col(seats) - F.col("__n") / 2 - 1)).withColumn("__most", given(F.col(seats) + F.col("__n") / 2 + 1))
+          .withColumn("__left", F.col(seats) - F.sum("__sure").over(group)))
+    seat = F.explode(F.when(F.col("__most") > F.col("__sure"), F.sequence(F.col("__sure") + 1, F.col("__most"))).otherwise(F.array().cast("array<bigint>")))
+    ranked = df.select(*by, order, share, "__left", seat.alias("__seat"))
+    best = Window.partitionBy(*by).orderBy((F.col(share) / (2 * F.col("__seat") - 1)).desc(), order)
+    more = (ranked.withColumn("__place", F.row_number().over(best)).where(F.col("__place") <= F.col("__left"))
+            .groupBy(*by, order).agg(F.count(F.lit(1)).alias("__more")))
+    return (df.join(more, [*by, order], "left").withColumn("won", F.col("__sure") + F.coalesce("__more", F.lit(0)))
+            .drop("__n", "__all", "__sure", "__most", "__left", "__more"))
 
-    src = (src.withColumn("sure", seats(F.col("blocks") - F.col("n") / 2 - 1))
-           .withColumn("most", seats(F.col("blocks") + F.col("n") / 2 + 1))
-           .withColumn("left", F.col("blocks") - F.sum("sure").over(everything)))
-    seat = F.explode(F.when(F.col("most") > F.col("sure"), F.sequence(F.col("sure") + 1, F.col("most"))).otherwise(F.array().cast("array<bigint>")))
-    won = (src.select("rank", "target", "left", seat.alias("seat"))
-           .withColumn("place", F.row_number().over(Window.orderBy((F.col("target") / (2 * F.col("seat") - 1)).desc(), "rank")))
-           .where(F.col("place") <= F.col("left")).groupBy("rank").agg(F.count(F.lit(1)).alias("won")))
-    return (src.join(won, "rank", "left")
-            .select("source", "source_size", "target", "block", (F.col("sure") + F.coalesce("won", F.lit(0))).alias("quota")))
+
+def quotas(src: DataFrame) -> DataFrame:
+    """Blocks of equal size for every source, by highest quotients of its target: adds block and quota."""
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
+    src = (src.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(LONGEST_BLOCK), F.floor(F.coalesce(least, F.lit(0.0)) / FINENESS))).cast("long"))
+           .withColumn("blocks", F.floor(F.col("total") / F.col("block") + 0.5)))
+    return apportioned(src, "target", "blocks", "rank", []).select("source", "source_size", "target", "block", F.col("won").alias("quota"))
 
 
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """taken and its reasons for every row of (doc_id, source, size).
 
-    A source's rows stand in a line by a seeded hash of doc_id (ties by doc_id, size); the line, repeated, is cut into
-    equal blocks, and the source's quota of blocks is taken from its start. The line is cut into shards by the hash;
-    shard sums along the source give each shard its integer quota and each row its place, so no task holds a source.
-    Rows of size 0 take nothing. With no words at all every target is 0. An empty table gives no rows.
+    A source's rows stand in a line by a seeded hash of doc_id (ties by doc_id, size), which is cut into equal blocks of
+    words; only its last block is shorter. The hash also cuts the line into shards, and a block belongs to the shard in
+    which it starts. The source's quota of blocks is apportioned to its shards by their blocks, again by highest
+    quotients. Each shard then takes its quota: all its blocks as often as the quota holds them, and of the rest a run
+    that starts at a seeded block and goes on from the shard's first after its last. A row takes the words that it has
+    in taken blocks. No block, and so no row, is taken more than `most` times. Shards, not sources, go to a task.
+    Rows of size 0 take nothing. With no words at all every target is 0. An empty table gives no rows; null doc_ids
+    and repeated rows stand in the line like others.
     """
     sizes = durable(sizes.select("doc_id", "source", F.col("size").cast("long"),
                                  F.md5(F.concat(F.lit("mix|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h")))
@@ -87,37 +97,51 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_R
     rows = named(sizes.withColumn("source_name", F.col("source")))
     before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = (rows.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"))
-              .withColumn("from", F.coalesce(F.sum("shard_size").over(before), F.lit(0)))
-              .join(src, "key")
-              .withColumn("take", F.least(F.col("quota") * F.col("block"), F.col("source_size") * most)))
-    cut = lambda p, at: F.ceil(F.least(F.lit(p) * F.col("source_size") + at, F.col("take")) / F.col("block"))
-    shards = shards.withColumn("shard_quota", sum(
-        (cut(p, F.col("from") + F.col("shard_size")) - cut(p, F.col("from")) for p in range(1, most)),
-        cut(0, F.col("from") + F.col("shard_size")) - cut(0, F.col("from"))))
+              .withColumn("from", F.coalesce(F.sum("shard_size").over(before), F.lit(0))).join(src, "key"))
+    block_at = lambda c: F.floor((c + F.col("block") - 1) / F.col("block"))  # noqa: E731  first block that starts at or after c
+    shards = (shards.withColumn("first", block_at(F.col("from"))).withColumn("own", block_at(F.col("from") + F.col("shard_size")) - F.col("first"))
+              .withColumn("wanted", F.least(F.col("quota"), most * F.sum("own").over(Window.partitionBy("key")))))
+    shards = apportioned(shards, "own", "wanted", "shard", ["key"]).withColumn("shard_quota", F.least(F.col("won"), most * F.col("own")))
+    start = F.conv(F.substring(F.md5(F.concat(F.lit("start|"), "key", F.lit("|"), "shard")), 1, 8), 16, 10).cast("long")
+    some = F.col("own") > 0
+    shards = (shards.withColumn("every", F.when(some, F.floor(F.col("shard_quota") / F.col("own"))).otherwise(F.lit(0)))
+              .withColumn("rest", F.when(some, F.col("shard_quota") - F.col("every") * F.col("own")).otherwise(F.lit(0)))
+              .withColumn("a", F.when(some, start % F.col("own")).otherwise(F.lit(0))))
+    # the run [a, a + rest) around the shard's blocks, as two stretches of the line; and what the last block before is taken
+    shards = (shards.withColumn("to", F.least(F.col("a") + F.col("rest"), F.col("own"))).withColumn("again", F.greatest(F.col("a") + F.col("rest") - F.col("own"), F.lit(0)))
+              .withColumn("last", F.when(some, F.col("every") + F.when((F.col("rest") > 0) & (F.col("to") == F.col("own")) & (F.col("a") < F.col("own")), 1).otherwise(0)))
+              .withColumn("lead", F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(0))))
     own = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(shards, ["key", "shard"]).withColumn("start", F.col("from") + F.sum("size").over(own) - F.col("size"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("take") / F.col("source_size"))).otherwise(F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("take") - F.col("whole") * F.col("source_size") - F.col("start")))
-    return rows.withColumn("whole", whole).select(
-        "doc_id", F.col("source_name").alias("source"), "size", "source_size", "target",
-        (F.col("whole") * F.col("size") + part).cast("long").alias("taken"),
-        "block", "quota", "shard", F.col("shard_quota").cast("long"))
+    rows = (rows.join(shards.drop("shard_size", "wanted", "won", "last"), ["key", "shard"])
+            .withColumn("p", F.col("from") + F.sum("size").over(own) - F.col("size")).withColumn("q", F.col("p") + F.col("size")))
+    begin = F.col("first") * F.col("block")
+    inside = lambda a, b: F.greatest(F.lit(0), F.least(F.col("q"), begin + b * F.col("block")) - F.greatest(F.col("p"), begin + a * F.col("block")))
+    head = F.greatest(F.lit(0), F.least(F.col("q"), begin) - F.col("p"))
+    taken = (head * F.col("lead") + (F.col("size") - head) * F.col("every")
+             + inside(F.col("a"), F.col("to")) + inside(F.lit(0), F.col("again")))
+    return rows.select("doc_id", F.col("source_name").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"),
+                       "block", "quota", "shard", F.col("shard_quota").cast("long"))
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source and number of words of every row (null text: 0); other columns are left behind."""
+    """doc_id, source and number of words of every row: null, empty and blank texts have 0; other columns are left behind."""
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: each as often as the nearest whole number of times its words are taken.
 
-    Only the row on which a source's last block ends is taken in part. Rows that share a doc_id share the decision.
+    Every column of the input goes on, whatever its name; extra columns have no say. Rows that share a doc_id share the
+    decision, as do all rows with a null one. Rows without words (null text too) are never taken. An empty table gives
+    no rows.
     """
-    copies = (mix(sizes_of(docs)).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-              .where("s > 0").select("__id", F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias("__copies")).where("__copies > 0"))
-    joined = docs.join(copies, F.col("__id").eqNullSafe(F.col("doc_id")))
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    id_ = {"__null": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    copies = (mix(sizes_of(docs)).withColumns(id_).groupBy(*id_).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+              .where("s > 0").select(*id_, F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias("__copies")).where("__copies > 0"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[c.alias(k) for k, c in id_.items()],
+                         F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD).alias("__words"))
+    joined = packed.where("__words").join(copies, list(id_))
+    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,10 +167,25 @@ k AS (SELECT *, CAST(floor(CAST(total AS DOUBLE) / block + 0.5) AS BIGINT) AS bl
 q AS (SELECT rank, count(*) AS quota FROM (
         SELECT rank, row_number() OVER (ORDER BY target / (2 * s - 1) DESC, rank) AS place, blocks
         FROM k, unnest(range(1, CAST(floor(target / block) AS BIGINT) + 20)) AS u(s)) WHERE place <= blocks GROUP BY rank),
-m AS (SELECT k.*, coalesce(quota, 0) AS quota, least(coalesce(quota, 0) * block, 3 * source_size) AS take FROM k LEFT JOIN q USING (rank)),
-p AS (SELECT d.doc_id, d.size, m.source_size, m.target, m.block, m.quota, m.take,
-        CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
-      FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source)
-SELECT doc_id, size, source_size, target,
-  CAST((take // source_size) * size + greatest(0, least(size, take - (take // source_size) * source_size - start)) AS BIGINT) AS taken,
-  block, quota FROM p"""}
+m AS (SELECT k.*, coalesce(quota, 0) AS quota FROM k LEFT JOIN q USING (rank)),
+z AS (SELECT CAST((SELECT min(g) FROM range(0, 9) AS t(g) WHERE pow(16, 2 * g) >= (SELECT count(*) FROM d)) AS INT) AS digits),
+r AS (SELECT d.*, coalesce('s' || source, 'null') AS key, substring(h, 1, digits) AS shard,
+        CAST(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS p FROM d, z),
+n AS (SELECT key, source, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(min(p) AS BIGINT) AS at FROM r GROUP BY key, source, shard),
+o AS (SELECT n.*, block, quota, (at + block - 1) // block AS first, (at + shard_size + block - 1) // block - (at + block - 1) // block AS own
+      FROM n JOIN m ON n.source IS NOT DISTINCT FROM m.source),
+v AS (SELECT key, shard, count(*) AS won FROM (
+        SELECT key, shard, row_number() OVER (PARTITION BY key ORDER BY CAST(own AS DOUBLE) / (2 * s - 1) DESC, shard) AS place,
+          least(quota, 3 * (SELECT sum(own) FROM o AS w WHERE w.key = o.key)) AS wanted
+        FROM o, unnest(range(1, CAST(3 * own + 2 AS BIGINT))) AS u(s)) WHERE place <= wanted GROUP BY key, shard),
+x AS (SELECT o.*, least(coalesce(won, 0), 3 * own) AS sq FROM o LEFT JOIN v USING (key, shard)),
+y AS (SELECT *, CASE WHEN own > 0 THEN sq // own ELSE 0 END AS every, CASE WHEN own > 0 THEN sq % own ELSE 0 END AS rest,
+        CASE WHEN own > 0 THEN CAST('0x' || substring(md5('start|' || key || '|' || shard), 1, 8) AS BIGINT) % own ELSE 0 END AS a FROM x),
+e1 AS (SELECT r.doc_id, r.size, r.p + i.i AS word, y.* FROM r JOIN y USING (key, shard), unnest(range(0, r.size)) AS i(i)),
+e2 AS (SELECT doc_id, size, key, word // block AS number FROM e1),
+e3 AS (SELECT doc_id, size, key, number, count(*) AS words FROM e2 GROUP BY ALL),
+e4 AS (SELECT e3.*, y.every + CASE WHEN (number - y.first - y.a + y.own) % y.own < y.rest THEN 1 ELSE 0 END AS times
+       FROM e3 JOIN y ON e3.key = y.key AND number >= y.first AND number < y.first + y.own),
+e5 AS (SELECT doc_id, CAST(sum(words * times) AS BIGINT) AS taken FROM e4 GROUP BY doc_id)
+SELECT d.doc_id, d.size, m.source_size, m.target, coalesce(taken, 0) AS taken, m.block, CAST(m.quota AS BIGINT) AS quota
+FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source LEFT JOIN e5 USING (doc_id)"""}
