@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import ship, table
 
-#: Markup: comments, elements whose content is no text, tags with quoted values, other tags, declarations.
+#: Markup: comments, closed elements whose content is no text, tags, declarations. In a tag a quote opens a value only
+#: after an equals sign, and only if it is closed; so a stray quote, or an element without end, takes no text with it.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|canvas|math)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
-    r"|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)"
+    r"<!--(?:-?>|.*?--!?>)"
+    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title|canvas)\b(?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+(?<!/)>.*?</\1\s*>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: Elements whose text, up to the next tag, is code or input even where the end tag is missing.
+MUTE = frozenset("script style textarea title iframe".split())
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 #: Elements that stand in a line of text and do not end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input picture source".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow msub msup mfrac msqrt mtext object q s samp small span strike strong sub sup time tt u var wbr br img input picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of these names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -51,7 +53,8 @@ def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page: runs of text between the borders of block elements, with the elements around them.
 
     Character references are decoded, white space becomes one space. Comments, scripts, styles and the like give no
-    text. Tags that are not closed or not opened are borne.
+    text, a noscript element neither. Tags that are not closed or not opened are borne: an element of these kinds
+    without an end tag takes with it at most the text up to the next tag, a comment without end its own tag only.
     """
     page = page or ""
     out: list[Block] = []
@@ -59,6 +62,7 @@ def blocks_of(page: str | None) -> list[Block]:
     run: list[str] = []
     inline: dict[str, int] = {}
     linked = emphasised = 0
+    mute = False
 
     def end() -> None:
         nonlocal linked, emphasised
@@ -78,13 +82,16 @@ def blocks_of(page: str | None) -> list[Block]:
 
     at = 0
     for m in MARKUP.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not mute:
             add(page[at:m.start()])
-        at = m.end()
-        name = (m[3] or m[6] or "").lower()
+        at, mute = m.end(), False
+        name = (m[3] or "").lower()
         if not name:
             continue
-        closing, rest = m[2] or m[5], m[4] or m[7] or ""
+        closing, rest = m[2], m[4] or ""
+        if name in MUTE:
+            mute = not closing
+            continue
         if name in INLINE:
             if name in ("br", "img"):
                 add(" ")
@@ -108,7 +115,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 stack.pop()
             named = " ".join(x for g in NAMED.findall(rest) for x in g if x).lower() if rest else ""
             stack.append((name, f"{name} {named}"))
-    if at < len(page):
+    if at < len(page) and not mute:
         add(page[at:])
     end()
     return [b for b in out if not any(p.startswith("head ") for p in b.path)]
