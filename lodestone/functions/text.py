@@ -20,6 +20,8 @@ SECTION_LABELS = (
     ("supplement", "SUPPLEMENT"), ("reference|bibliograph", "REFERENCES"),
 )
 BOOLEANS = ("and", "or", "not")
+#: Infons with such keys belong to author lists (fixed value).
+AUTHOR_KEYS = "^(name_|aff_)|affiliation|orcid"
 
 
 def given(x: Column) -> Column:
@@ -59,7 +61,7 @@ def keep_passage(section: Column, kind: Column, infon_keys: Column | None = None
     upper, lower = F.upper(s), F.lower(s)
     drop = upper.isin(*SKIPPED_SECTIONS) | lower.rlike("|".join(SKIPPED_IN_SECTION)) | t.rlike("|".join(SKIPPED_IN_TYPE))
     if infon_keys is not None:
-        drop = drop | F.coalesce(F.exists(infon_keys, lambda k: F.lower(k).rlike("^(name_|aff_)|affiliation|orcid")), F.lit(False))
+        drop = drop | F.coalesce(F.exists(infon_keys, lambda k: F.lower(k).rlike(AUTHOR_KEYS)), F.lit(False))
     keep = F.when(upper == "ABSTRACT", t.isin(*KEPT_TYPES["ABSTRACT"])).when(upper == "TITLE", t.isin(*KEPT_TYPES["TITLE"])).otherwise(t.isin(*KEPT_ELSE))
     return ~drop & keep
 
@@ -114,25 +116,69 @@ def abbreviation_key(x: Column) -> Column:
 
 
 def abbreviation_variants(x: Column) -> Column:
-    """The key, and it with or without a plural s."""
+    """The key, and it with or without a plural s; an empty one of them is left out."""
     k = abbreviation_key(x)
-    return F.array_distinct(F.array(k, F.when(k.endswith("s"), F.substring(k, F.lit(1), F.length(k) - 1)).otherwise(F.concat(k, F.lit("s")))))
+    other = F.when(k.endswith("s"), F.substring(k, F.lit(1), F.length(k) - 1)).otherwise(F.concat(k, F.lit("s")))
+    return F.filter(F.array_distinct(F.array(k, other)), lambda v: v != "")
 
 
 def looks_abbreviated(x: Column) -> Column:
-    """More than one character, and an upper-case letter, digit or sign, or at most 12 without a space."""
-    t = F.trim(given(x))
-    return (F.length(t) > 1) & (t.rlike(r"[\p{Lu}0-9+-]") | ((F.length(t) <= 12) & ~t.contains(" ")))
+    """A key of more than one character, and in the text an upper-case letter, digit, plus, minus or slash, or no space
+    and a key of at most 12."""
+    t, key = F.trim(given(x)), abbreviation_key(x)
+    return (F.length(key) > 1) & (t.rlike(r"[\p{Lu}\p{N}+/-]") | ((F.length(key) <= 12) & ~t.contains(" ")))
 
 
 def keyword_atoms(query: Column) -> Column:
-    """Quoted phrases and all words of a query but booleans, distinct, in order; field tags in brackets go."""
-    q = F.regexp_replace(F.lower(sanitize_query(query)), r"\[[^\]]*\]", " ")
+    """Quoted phrases and all words of a query but booleans, distinct, in order; article ids and field tags in brackets
+    go."""
+    q = F.regexp_replace(F.lower(sanitize_query(query)), r"(?:pmcid\s*[:=]?\s*)?pmc\s*\d+(?:\.\d+)?", " ")
+    q = F.regexp_replace(q, r"\[[^\]]+\]", " ")
     phrases = F.filter(F.transform(F.regexp_extract_all(q, F.lit('"([^"]+)"')), squeeze), lambda p: p != "")
     words = F.filter(F.regexp_extract_all(q, F.lit(r"([a-z][a-z0-9_-]*\*?)")), lambda w: ~w.isin(*BOOLEANS))
     return F.array_distinct(F.concat(phrases, words))
 
 
+def strict_pmcid(x: Column, implied: bool = False) -> Column:
+    """PMC and digits standing alone in a text; a bare number only where the key it stands under implies it."""
+    t = clean_text(x)
+    found = F.regexp_extract(t, r"(?i)\bPMC\s*(\d+)\b", 1)
+    bare = F.when(t.rlike(r"^\d+$"), t) if implied else F.lit(None).cast("string")
+    return F.concat(F.lit("PMC"), F.coalesce(F.nullif(found, F.lit("")), bare))
+
+
+#: Entity types by the names that annotation services give them (fixed values).
+TYPE_NAMES = {
+    "gene": "gene", "gene/protein": "gene", "protein": "gene", "chemical": "chemical", "chemicals": "chemical", "chemical entity": "chemical",
+    "drug": "chemical", "drug/chemical": "chemical", "drug chemical": "chemical",
+}
+#: What the beginning of an answer without a full text says, and how much of it is looked at (fixed values).
+UNAVAILABLE = ("not found", "no document", "not available", "no full text", "does not exist")
+BEGINNING = 1000
+
+
+def service_type(x: Column) -> Column:
+    """gene or chemical by a service's name for a type; null for others."""
+    names = F.create_map(*[F.lit(v) for kv in TYPE_NAMES.items() for v in kv])
+    return F.try_element_at(names, F.lower(squeeze(x)))
+
+
+def infon(infons: Column, *keys: str) -> Column:
+    """The first filled value under one of some keys, which are compared without case, spaces, dashes and underscores."""
+    plain = lambda k: F.regexp_replace(F.lower(k), r"[\s_-]", "")
+    by_key = F.transform_keys(F.map_filter(infons, lambda k, v: F.trim(F.coalesce(v, F.lit(""))) != ""), lambda k, v: plain(k))
+    return F.coalesce(*[F.try_element_at(by_key, plain(F.lit(k))) for k in keys])
+
+
+def says_unavailable(body: Column) -> Column:
+    """Whether the beginning of an answer says that there is no full text."""
+    start = F.lower(F.substring(given(body), 1, BEGINNING))
+    out = F.lit(False)
+    for marker in UNAVAILABLE:
+        out = out | start.contains(marker)
+    return out
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def places(text: pd.Series, query: pd.Series, low_text: pd.Series, low_query: pd.Series) -> pd.Series:
     """In time linear in the text: by built-in functions each place costs a walk from the text's start."""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,33 +45,32 @@ def tag_numbers(rows: DataFrame, group: str, prefix: str, key: str, order: str)
     return rows.join(firsts.withColumn("number", number).drop("__first"), [group, prefix, key])
 
 
-def render(text: str, spans: list[dict]) -> str:
-    """A text with tags around its spans (start, end, type, tag): inner ones close first, outer ones open first."""
-    opening: dict[int, list] = {}
-    closing: dict[int, list] = {}
-    for s in spans:
-        rank = PRIORITY.get(s["type"], 99)
-        opening.setdefault(s["start"], []).append(((-s["end"], rank, s["tag"]), f"[{s['tag']}]"))
-        closing.setdefault(s["end"], []).append(((-s["start"], -rank, s["tag"]), f"[/{s['tag']}]"))
-    out, at = [], 0
-    for place in sorted({*opening, *closing}):
-        out.append(text[at:place])
-        out += [t for _, t in sorted(closing.get(place, []))] + [t for _, t in sorted(opening.get(place, []))]
-        at = place
-    return "".join([*out, text[at:]])
+def tagged(text: Column, spans: Column) -> Column:
+    """A text with tags around its spans (an array of structs start, end, type, tag).
 
+    Every span is two events, its opening and its closing, with what they write. At one place closings come first, that
+    of the span that began last before others; of openings, that of the span that ends last. Ties go by type and tag. The
+    text between an event and the one before goes in front of what the event writes.
+    """
+    text = F.coalesce(text, F.lit(""))
+    types = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
+    rank = lambda s: F.coalesce(F.try_element_at(types, s["type"]), F.lit(99))
 
-def render_tags(rows: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Add `tagged`, by Arrow batches: nested markup of variable shape has no built-in form."""
-    i, j = rows.columns.index(text), rows.columns.index(spans)
+    def event(at: Column, kind: int, depth: Column, by_type: Column, tag: Column, form: str) -> Column:
+        return F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), depth.cast("int").alias("depth"), by_type.alias("rank"), tag.alias("tag"), F.format_string(form, tag).alias("write"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = [render(t or "", s or []) for t, s in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.string())], names=[*b.schema.names, "tagged"])
+    openings = F.transform(spans, lambda s: event(s["start"], 1, -s["end"], rank(s), s["tag"], "[%s]"))
+    closings = F.transform(spans, lambda s: event(s["end"], 0, -s["start"], -rank(s), s["tag"], "[/%s]"))
+    events = F.array_sort(F.concat(closings, openings))
+    before = lambda i: F.coalesce(F.get(events, i - 1)["at"], F.lit(0))
+    parts = F.transform(events, lambda e, i: F.concat(F.substring(text, before(i) + 1, e["at"] - before(i)), e["write"]))
+    last = F.coalesce(F.get(events, F.size(events) - 1)["at"], F.lit(0))
+    return F.when(spans.isNull(), text).otherwise(F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text))))
 
-    from pyspark.sql.types import StringType, StructField, StructType
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("tagged", StringType())]))
+
+def render_tags(rows: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """Add `tagged`."""
+    return rows.withColumn("tagged", tagged(F.col(text), F.col(spans)))
 
 
 def merge_branches(left: DataFrame, right: DataFrame, key: str, aligned: list[str]) -> DataFrame:

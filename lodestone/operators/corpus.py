@@ -2,41 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; a temporary one only where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+from lodestone.operators.linking import components
+from lodestone.tables import counted, looked_up
 
 
 def resolve(records: DataFrame, seq: str, keys: list[Column]) -> DataFrame:
     """Add `paper`: the smallest seq of all records joined to one, over any number of steps, by an equal key.
 
-    Every key's records are joined to its first one, so a frequent key gives a row per record; labels then spread and
-    jump until nothing changes.
+    Every key's records are joined to its first one, so a frequent key gives a row per record.
     """
     named = F.filter(F.array(*[F.concat(F.lit(f"{i}:"), F.nullif(k, F.lit(""))) for i, k in enumerate(keys)]), lambda k: k.isNotNull())
-    held = records.select(F.col(seq).alias("id"), F.explode(named).alias("key"))
-    first = held.groupBy("key").agg(F.min("id").alias("first"))
-    edges = held.join(first, "key").where("id <> first").select("id", "first").distinct()
-    both = kept(edges.union(edges.select("first", "id")))
-    labels = kept(records.select(F.col(seq).alias("id"), F.col(seq).alias("label")))
-    while True:
-        heard = both.join(labels.select(F.col("id").alias("first"), F.col("label")), "first").groupBy("id").agg(F.min("label").alias("heard"))
-        near = labels.join(heard, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("heard", "label")).alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = kept(near.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("next", "label")).alias("label")))
-        labels = new.select("id", "label")
-        if new.where("was <> label").isEmpty():
-            break
-    return records.join(labels.select(F.col("id").alias(seq), F.col("label").alias("paper")), seq)
+    rows = records.select(F.col(seq).alias("id"), F.explode(named).alias("key"))
+    first = rows.groupBy("key").agg(F.min("id").alias("first"))
+    rows, total = counted(rows)
+    labels = components(looked_up(rows, first, "key", total=total).select(F.col("id").alias("x"), F.col("first").alias("y")))
+    return records.join(labels.select(F.col("id").alias(seq), "component"), seq, "left").withColumn("paper", F.coalesce("component", seq)).drop("component")
 
 
 def merge(records: DataFrame, paper: str, seq: str, first: list[str], longest: list[str], sets: list[str], last: list[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import ids
 from lodestone.functions.text import norm, squeeze
+from lodestone.tables import durable
 
 #: Subject and object prefixes that each predicate allows (fixed values).
 LEGAL = {
@@ -15,6 +16,7 @@ LEGAL = {
 }
 UNDIRECTED = "binding"
 MOST_INITIAL, MOST_ROUNDS = 1000, 12
+COLOURS = {"cell": "#2f7fb5", "gene": "#3d9a5f", "hormone": "#c2703d"}
 
 
 def legal(subject_tag: Column, predicate: Column, object_tag: Column) -> Column:
@@ -29,93 +31,145 @@ def sound(e: Column) -> Column:
     return tag.rlike(r"^[CGH]\d+$") & (F.lower(F.substring(tag, 1, 1)) == F.substring(ids.entity_type(e["obj"]), 1, 1))
 
 
-def node_of(w: Column) -> Column:
-    return F.when(w.isNotNull(), ids.node_id(w["type"], w["field"], w["identity"]))
+def resolved(rows: DataFrame) -> DataFrame:
+    """The rows with `known` in place of entities: those with a sound tag and an identity, as structs of tag, key (of the
+    node), type, identity, names as they stand, and place. All identities are worked out here, once; written as a table,
+    the result serves every count of the graph."""
+    if "known" in rows.columns:
+        return rows
+    fields = rows.schema["entities"].dataType.elementType.fieldNames()
+    name = lambda e, f: e[f] if f in fields else F.lit("")
+    one = F.transform("entities", lambda e, i: F.struct(ids.trimmed(e["id"]).alias("tag"), F.when(sound(e), ids.node_identity(e, fields)).alias("w"),
+                                                      name(e, "preferred_label").alias("preferred"), name(e, "mention").alias("mention"), i.alias("pos")))
+    known = F.transform(F.filter(one, lambda x: x["w"].isNotNull()), lambda x: F.struct(
+        x["tag"].alias("tag"), ids.node_key(x["w"]).alias("key"), x["w"]["type"].alias("type"), x["w"]["identity"].alias("identity"),
+        x["preferred"].alias("preferred"), x["mention"].alias("mention"), x["pos"].alias("pos")))
+    rest = [c for c in rows.columns if c not in ("entities", "relations")]
+    # exploding an array of one keeps the planner from working the identities out again for every use
+    return rows.select(*rest, "relations", F.explode(F.array(known)).alias("known"))
+
+
+def sights(rows: DataFrame) -> DataFrame:
+    """One row per entity with a sound tag: base, paper_id, seq, and the fields of resolved()."""
+    return resolved(rows).select("base", "paper_id", "seq", F.explode("known").alias("x")).select("base", "paper_id", "seq", "x.*")
 
 
 def mentions(rows: DataFrame) -> DataFrame:
     """One row per entity with a sound tag: its node, type, identity and names."""
-    fields = rows.schema["entities"].dataType.elementType.fieldNames()
-    e = rows.select("base", "paper_id", "seq", F.posexplode("entities").alias("pos", "e")).where(sound(F.col("e")))
-    # exploding an array of one keeps the planner from working the identity out again for every use
-    e = e.select("base", "paper_id", "seq", "pos", "e", F.explode(F.array(ids.node_identity(F.col("e"), fields))).alias("w")).where("w is not null")
-    name = lambda f: squeeze(F.col("e")[f]) if f in fields else F.lit("")
-    return e.select("base", "paper_id", "seq", "pos", node_of(F.col("w")).alias("node_id"), F.col("w.type").alias("entity_type"),
-                    F.col("w.identity").alias("normalized_id"), name("preferred_label").alias("preferred"), name("mention").alias("mention"))
+    return sights(rows).select("base", "paper_id", "seq", "pos", ids.node_of_key(F.col("key")).alias("node_id"), F.col("type").alias("entity_type"),
+                               F.col("identity").alias("normalized_id"), squeeze(F.col("preferred")).alias("preferred"), squeeze(F.col("mention")).alias("mention"))
 
 
-def relations(rows: DataFrame) -> DataFrame:
-    """One row per relation: its nodes, whether it is valid, and the cells of its context.
+def keyed_relations(rows: DataFrame) -> DataFrame:
+    """One row per relation: keys of its nodes, whether it is valid, and the keys of its context's cells.
 
     Valid: both tags resolve, to different nodes, and the predicate allows their types. Of equal tags the last counts.
     All that a relation needs stands in its own row, so resolving tags takes no join.
     """
-    fields = rows.schema["entities"].dataType.elementType.fieldNames()
-    rest = [c for c in rows.columns if c not in ("entities", "relations")]
-    find = lambda tag: F.try_element_at(F.filter("entities", lambda e: (ids.trimmed(e["id"]) == ids.trimmed(tag)) & sound(e)), F.lit(-1))
-    one = lambda **c: F.explode(F.array(F.struct(*[x.alias(k) for k, x in c.items()])))
-    cells = F.filter("entities", lambda e: (ids.entity_type(e["obj"]) == "cell") & F.array_contains(F.coalesce(F.col("r.cell_context"), F.array().cast("array<string>")), ids.trimmed(e["id"])) & sound(e))
-    r = rows.select(*rest, "entities", F.explode("relations").alias("r"))
-    r = r.select(*rest, "r", one(s=find(F.col("r.subject")), o=find(F.col("r.object")), c=cells).alias("x"))
-    r = r.select(*rest, "r", "x", one(s=ids.node_identity(F.col("x.s"), fields), o=ids.node_identity(F.col("x.o"), fields)).alias("w"))
-    r = r.select(*rest, one(
-        subject_id=node_of(F.col("w.s")), subject_type=F.col("w.s.type"), predicate=norm(F.col("r.predicate")), object_id=node_of(F.col("w.o")), object_type=F.col("w.o.type"),
-        context=F.array_distinct(F.transform("x.c", lambda e: node_of(ids.node_identity(e, fields)))),
-        fits=legal(ids.trimmed(F.col("r.subject")), norm(F.col("r.predicate")), ids.trimmed(F.col("r.object")))).alias("y"))
-    ok = F.col("y.subject_id").isNotNull() & F.col("y.object_id").isNotNull() & (F.col("y.subject_id") != F.col("y.object_id")) & F.col("y.fits")
-    return r.select(*rest, "y.subject_id", "y.subject_type", "y.predicate", "y.object_id", "y.object_type", "y.context", F.coalesce(ok, F.lit(False)).alias("valid"))
+    rows = resolved(rows)
+    rest = [c for c in rows.columns if c not in ("known", "relations")]
+    find = lambda tag: F.try_element_at(F.filter("known", lambda e: e["tag"] == ids.trimmed(tag)), F.lit(-1))
+    r = rows.select(*rest, "known", F.explode("relations").alias("r"))
+    said = F.coalesce(F.col("r.cell_context"), F.array().cast("array<string>"))
+    cells = F.filter("known", lambda e: (e["type"] == "cell") & F.array_contains(said, e["tag"]))
+    r = r.select(*rest, F.explode(F.array(F.struct(
+        find(F.col("r.subject")).alias("s"), norm(F.col("r.predicate")).alias("predicate"), find(F.col("r.object")).alias("o"),
+        F.when(F.size(said) > 0, F.array_distinct(F.transform(cells, lambda e: e["key"]))).otherwise(F.array().cast("array<string>")).alias("context"),
+        legal(ids.trimmed(F.col("r.subject")), norm(F.col("r.predicate")), ids.trimmed(F.col("r.object"))).alias("fits")))).alias("y"))
+    ok = F.col("y.s").isNotNull() & F.col("y.o").isNotNull() & (F.col("y.s.key") != F.col("y.o.key")) & F.col("y.fits")
+    return r.select(*rest, F.col("y.s.key").alias("subject"), F.col("y.s.type").alias("subject_type"), F.col("y.predicate").alias("predicate"),
+                    F.col("y.o.key").alias("object"), F.col("y.o.type").alias("object_type"), F.col("y.context").alias("context"), F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+def relations(rows: DataFrame) -> DataFrame:
+    """One row per relation: its nodes, whether it is valid, and the cells of its context."""
+    r = keyed_relations(rows)
+    rest = [c for c in r.columns if c not in ("subject", "subject_type", "predicate", "object", "object_type", "context", "valid")]
+    return r.select(*rest, ids.node_of_key(F.col("subject")).alias("subject_id"), "subject_type", "predicate", ids.node_of_key(F.col("object")).alias("object_id"),
+                    "object_type", F.transform("context", ids.node_of_key).alias("context"), "valid")
+
+
+def keyed_evidence(rows: DataFrame) -> DataFrame:
+    """One row per edge (by keys) and chunk, of the first relation in order, with its contexts collected from all."""
+    if {"subject", "object", "predicate", "context"} <= set(rows.columns):
+        return rows
+    r = keyed_relations(rows).where("valid")
+    return (r.groupBy("subject", "subject_type", "predicate", "object", "object_type", "base")
+            .agg(F.min_by(F.struct("paper_id", "pub_year"), "seq").alias("f"), F.array_distinct(F.flatten(F.collect_set("context"))).alias("context"))
+            .select("subject", "subject_type", "predicate", "object", "object_type", "base", "f.paper_id", "f.pub_year", "context"))
+
+
+def named(df: DataFrame) -> list[Column]:
+    """Ids of an edge and its ends, from their keys."""
+    s, o = ids.node_of_key(F.col("subject")), ids.node_of_key(F.col("object"))
+    return [ids.edge_id(s, F.col("predicate"), o).alias("edge_id"), s.alias("subject_id"), F.col("subject_type"), F.col("predicate"), o.alias("object_id"), F.col("object_type")]
 
 
 def evidence(rows: DataFrame) -> DataFrame:
     """One row per edge and chunk, of the first relation in order, with its contexts collected from all."""
-    r = relations(rows).where("valid")
-    first = F.min_by(F.struct("paper_id", "pub_year"), "seq")
-    return (r.groupBy("subject_id", "predicate", "object_id", "base")
-            .agg(first.alias("f"), F.array_distinct(F.flatten(F.collect_set("context"))).alias("context"),
-                 F.first("subject_type").alias("subject_type"), F.first("object_type").alias("object_type"))
-            .select(ids.edge_id(F.col("subject_id"), F.col("predicate"), F.col("object_id")).alias("edge_id"), "subject_id", "subject_type",
-                    "predicate", "object_id", "object_type", "base", "f.paper_id", "f.pub_year", "context"))
+    ev = keyed_evidence(rows)
+    return ev.select(*named(ev), "base", "paper_id", "pub_year", F.transform("context", ids.node_of_key).alias("context"))
 
 
 def edges(rows: DataFrame) -> DataFrame:
-    """Edges with counts of papers, chunks, evidence and evidence with context."""
-    return (evidence(rows).groupBy(F.col("edge_id").alias("id"), "subject_id", "subject_type", "predicate", "object_id", "object_type")
-            .agg(F.count_distinct(ids.filled(F.col("paper_id"))).alias("paper_count"), F.count(F.lit(1)).alias("chunk_count"),
-                 F.count(F.lit(1)).alias("evidence_count"), F.count_if(F.size("context") > 0).alias("context_evidence_count")))
+    """Edges with counts of papers, chunks, evidence and evidence with context, from rows or keyed evidence.
+
+    Counts go by keys; only distinct edges are hashed.
+    """
+    e = (keyed_evidence(rows).groupBy("subject", "subject_type", "predicate", "object", "object_type")
+         .agg(F.count_distinct(ids.filled(F.col("paper_id"))).alias("paper_count"), F.count(F.lit(1)).alias("chunk_count"),
+              F.count_if(F.size("context") > 0).alias("context_evidence_count")))
+    id_, *rest = named(e)
+    return e.select(id_.alias("id"), *rest, "paper_count", "chunk_count", F.col("chunk_count").alias("evidence_count"), "context_evidence_count")
 
 
 def aliases(rows: DataFrame) -> DataFrame:
     """Names of nodes: how often each was seen, its highest kind (2 preferred, 1 mention, 0 identifier), and the
-    spelling that came first with that kind."""
-    names = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("slot"), F.col(c).alias("alias"))
-                                for i, (c, k) in enumerate((("preferred", 2), ("mention", 1), ("normalized_id", 0)))]))
-    m = mentions(rows).select("node_id", "seq", "pos", names.alias("n")).select("node_id", "seq", "pos", "n.*").withColumn("alias_norm", norm(F.col("alias")))
-    return (m.where("alias_norm <> ''").groupBy("node_id", "alias_norm")
-            .agg(F.min_by("alias", F.struct(-F.col("kind"), "seq", "pos", "slot")).alias("alias"), F.max("kind").alias("alias_kind"), F.count(F.lit(1)).alias("count")))
+    spelling that came first with that kind.
+
+    Names are counted as they stand first; only distinct ones are cleaned. The order of sights is packed in one number
+    (seq below 2^43, places in a row below 2^18).
+    """
+    names = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("slot"), F.col(c).alias("raw"))
+                                for i, (c, k) in enumerate((("preferred", 2), ("mention", 1), ("identity", 0)))]))
+    at = F.col("seq") * F.lit(1 << 20) + F.col("pos") * 4 + F.col("n.slot")
+    seen = sights(rows).select("key", "seq", "pos", names.alias("n")).select("key", "n.kind", "n.raw", at.alias("at"))
+    seen = seen.groupBy("key", "kind", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    m = seen.withColumn("alias", squeeze(F.col("raw"))).withColumn("alias_norm", F.lower("alias")).where("alias <> ''")
+    out = m.groupBy("key", "alias_norm").agg(F.min_by("alias", F.struct(-F.col("kind"), "at")).alias("alias"), F.max("kind").alias("alias_kind"), F.sum("n").alias("count"))
+    return out.select(ids.node_of_key(F.col("key")).alias("node_id"), "alias_norm", "alias", "alias_kind", "count")
 
 
 def labels(rows: DataFrame) -> DataFrame:
-    """The best name of each node: highest kind, most often seen, shortest, first."""
+    """The best name of each node, of rows or of aliases(): highest kind, most often seen, shortest, first."""
+    names = rows if "alias_kind" in rows.columns else aliases(rows)
     order = F.struct(-F.col("alias_kind"), -F.col("count"), F.length("alias"), F.lower("alias"), F.col("alias"))
-    best = aliases(rows).groupBy("node_id").agg(F.min_by(F.struct("alias", "alias_norm"), order).alias("b"))
+    best = names.groupBy("node_id").agg(F.min_by(F.struct("alias", "alias_norm"), order).alias("b"))
     return best.select("node_id", F.col("b.alias").alias("label"), F.col("b.alias_norm").alias("label_norm"))
 
 
-def nodes(rows: DataFrame, of_edges: DataFrame | None = None) -> DataFrame:
-    """Nodes with their label and counts of mentions, papers, chunks, relations and contexts."""
-    e = edges(rows) if of_edges is None else of_edges
+def nodes(rows: DataFrame, of_edges: DataFrame | None = None, of_names: DataFrame | None = None) -> DataFrame:
+    """Nodes with their label and counts of mentions, papers, chunks, relations and contexts.
+
+    Rows that are not resolved yet are resolved into a table first, and evidence is worked out once.
+    """
+    rows = rows if "known" in rows.columns else durable(resolved(rows))
+    ev = durable(keyed_evidence(rows))
+    e = edges(ev) if of_edges is None else of_edges
     # one row per node and chunk first, so that a frequent node's rows are added up before they meet
-    seen = mentions(rows).groupBy("node_id", "entity_type", "base").agg(F.count(F.lit(1)).alias("n"), F.min("paper_id").alias("paper_id"), F.min("normalized_id").alias("normalized_id"))
-    own = (seen.groupBy(F.col("node_id").alias("id"), "entity_type")
-           .agg(F.min("normalized_id").alias("normalized_id"), F.sum("n").alias("occurrence_count"),
+    seen = sights(rows).groupBy("key", "type", "base").agg(F.count(F.lit(1)).alias("n"), F.min("paper_id").alias("paper_id"), F.min("identity").alias("identity"))
+    own = (seen.groupBy("key", F.col("type").alias("entity_type"))
+           .agg(F.min("identity").alias("normalized_id"), F.sum("n").alias("occurrence_count"),
                 F.count_distinct(ids.filled(F.col("paper_id"))).alias("paper_count"), F.count(F.lit(1)).alias("chunk_count")))
+    contexts = ev.select(F.explode("context").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("context_count"))
+    own = own.join(contexts, "key", "left").withColumn("id", ids.node_of_key(F.col("key"))).drop("key")
     sides = e.select("predicate", F.explode(F.array(F.struct(F.col("subject_id").alias("id"), F.lit(1).alias("out")), F.struct(F.col("object_id").alias("id"), F.lit(0).alias("out")))).alias("x")).select("predicate", "x.*")
     degree = sides.groupBy("id").agg(
         F.count(F.lit(1)).alias("relation_count"),
         F.count_if((F.col("out") == 0) & (F.col("predicate") != UNDIRECTED)).alias("incoming_count"),
         F.count_if((F.col("out") == 1) & (F.col("predicate") != UNDIRECTED)).alias("outgoing_count"))
-    contexts = evidence(rows).select(F.explode("context").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("context_count"))
-    out = own.join(labels(rows).withColumnRenamed("node_id", "id"), "id", "left").join(degree, "id", "left").join(contexts, "id", "left")
+    names = labels(rows if of_names is None else of_names).withColumnRenamed("node_id", "id")
+    out = own.join(names, "id", "left").join(degree, "id", "left")
     return out.select("id", "entity_type", "normalized_id", F.coalesce("label", "normalized_id").alias("label"),
                       F.coalesce("label_norm", F.lower("normalized_id")).alias("label_norm"), "occurrence_count", "paper_count", "chunk_count",
                       *[F.coalesce(c, F.lit(0)).alias(c) for c in ("relation_count", "incoming_count", "outgoing_count", "context_count")])
@@ -243,11 +297,69 @@ def edge_length(a: Column, b: Column) -> Column:
     return F.floor(90 + 2.2 * (a + b)).cast("int")
 
 
-def entity_index(n: DataFrame, names: DataFrame, e: DataFrame) -> DataFrame:
-    """One row per node with nested names and relations, in order."""
+def entity_relations(e: DataFrame) -> DataFrame:
+    """One row per node and edge at it: papers, edge, predicate, the other end and the direction."""
     side = lambda me, other, d: e.select(F.col(me).alias("id"), F.struct(
         F.col("paper_count").alias("papers"), F.col("id").alias("edge"), "predicate", F.col(other).alias("other"),
         F.when(F.col("predicate") == UNDIRECTED, "undirected").otherwise(d).alias("direction")).alias("r"))
-    rel = side("subject_id", "object_id", "outgoing").unionAll(side("object_id", "subject_id", "incoming")).groupBy("id").agg(F.array_sort(F.collect_list("r")).alias("relations"))
-    alias = names.groupBy(F.col("node_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("alias_norm", "alias", "count"))).alias("mentions"))
-    return n.join(alias, "id", "left").join(rel, "id", "left")
+    return side("subject_id", "object_id", "outgoing").unionAll(side("object_id", "subject_id", "incoming"))
+
+
+def entity_index(n: DataFrame, names: DataFrame, e: DataFrame, page: int = 1000) -> DataFrame:
+    """One row per node, by type, label and id, with its names and relations nested, in order.
+
+    Of a node's names and relations the first `page` are nested; all are rows of aliases() and entity_relations().
+    """
+    def nested(df: DataFrame, column: str, to: str) -> DataFrame:
+        first = F.row_number().over(Window.partitionBy("id").orderBy(column))
+        return df.withColumn("k", first).where(F.col("k") <= page).groupBy("id").agg(F.array_sort(F.collect_list(column)).alias(to))
+    rel = nested(entity_relations(e), "r", "relations")
+    alias = nested(names.select(F.col("node_id").alias("id"), F.struct("alias_norm", "alias", "count").alias("m")), "m", "mentions")
+    return n.join(alias, "id", "left").join(rel, "id", "left").orderBy("entity_type", "label_norm", "id")
+
+
+def edge_contexts(ev: DataFrame, n: DataFrame) -> DataFrame:
+    """Cells of every edge's context with their label and how much evidence names them."""
+    c = ev.select("edge_id", F.explode("context").alias("id")).groupBy("edge_id", "id").agg(F.count(F.lit(1)).alias("evidence_count"))
+    return c.join(n.select("id", "label"), "id")
+
+
+def edge_details(e: DataFrame, n: DataFrame) -> DataFrame:
+    """Edges with label and type of both ends, and whether they have a direction."""
+    side = lambda s: n.select(F.col("id").alias(f"{s}_id"), F.col("label").alias(f"{s}_label"))
+    return e.join(side("subject"), "subject_id").join(side("object"), "object_id").withColumn("directed", F.col("predicate") != UNDIRECTED)
+
+
+def surface_forms(m: DataFrame) -> DataFrame:
+    """How often each spelling of a node was seen: case does not count, the first spelling in order stands for all."""
+    t = m.where(F.trim("mention") != "")
+    return t.groupBy("node_id", F.lower("mention").alias("form")).agg(F.min("mention").alias("text"), F.count(F.lit(1)).alias("count"))
+
+
+def undirected_counts(e: DataFrame) -> DataFrame:
+    """Per node, how many of its edges have no direction."""
+    ends = e.where(F.col("predicate") == UNDIRECTED).select(F.explode(F.array("subject_id", "object_id")).alias("id"))
+    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("undirected_count"))
+
+
+def evidence_entities(ev: DataFrame, m: DataFrame, page: int = 1000) -> DataFrame:
+    """Evidence with the entities of its chunk nested, by place; of a chunk's entities the first `page`."""
+    first = F.row_number().over(Window.partitionBy("base").orderBy("pos", "node_id"))
+    spans = (m.withColumn("k", first).where(F.col("k") <= page).groupBy("base")
+             .agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "entity_type", "mention"))).alias("entities")))
+    return ev.join(spans, "base", "left")
+
+
+def in_order(df: DataFrame, key: str, wanted: list[str]) -> DataFrame:
+    """The rows of some ids, in the order in which the ids are given; ids without a row are passed over."""
+    places = df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(dict.fromkeys(wanted))], f"{key} string, place int")
+    return df.join(F.broadcast(places), key).orderBy("place")
+
+
+def payload(n: DataFrame) -> DataFrame:
+    """Nodes as a browser draws them: title, colour by type, and size by papers on a logarithmic scale."""
+    bounds = n.agg(F.min("paper_count").alias("lo"), F.max("paper_count").alias("hi"))
+    colours = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
+    return n.join(F.broadcast(bounds)).select(  # one row
+        "id", "label", F.concat_ws(" | ", "label", "normalized_id").alias("title"), F.try_element_at(colours, "entity_type").alias("colour"),
+        log_size(F.col("paper_count"), F.col("lo"), F.col("hi")).alias("size"))

@@ -42,3 +42,16 @@ def referenced(entities: Column, triples: Column) -> Column:
 def windows(rows: DataFrame, seq: str, size: int = 500) -> DataFrame:
     """Add `window`: rows in lots of `size` by their number from 0."""
     return rows.withColumn("window", F.floor(F.col(seq) / size))
+
+
+def counters(valid: DataFrame) -> DataFrame:
+    """name, value: relations, relations by predicate and by direction, and those of hormone and gene with and without a
+    context."""
+    from lodestone.operators.graph import direction
+
+    kinds = F.array(
+        F.lit("relations"), F.concat(F.lit("predicate:"), F.col("predicate")),
+        F.concat(F.lit("direction:"), direction(F.col("predicate"), F.col("subject_type"), F.col("object_type"))),
+        F.when((F.col("subject_type") == "hormone") & (F.col("object_type") == "gene"),
+               F.concat(F.lit("hormone_gene:"), F.when(F.size("context") > 0, "with_context").otherwise("without_context"))))
+    return valid.select(F.explode(kinds).alias("name")).where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("value"))

@@ -63,7 +63,7 @@ def text_doc_key(spark, d):
 
 
 @query(r"""WITH q AS (SELECT item_id, '"' || list_extract(string_split(lower(text), ' '), 1) || ' x" AND ' || regexp_replace(text, '[\pZ\s]+', ' ', 'g') AS q FROM benchmark),
-z AS (SELECT item_id, regexp_replace(lower(regexp_replace(q, '[\pZ\s]+', ' ', 'g')), '\[[^\]]*\]', ' ', 'g') AS q FROM q),
+z AS (SELECT item_id, regexp_replace(regexp_replace(lower(regexp_replace(q, '[\pZ\s]+', ' ', 'g')), '(pmcid ?[:=]? ?)?pmc ?[0-9]+(\.[0-9]+)?', ' ', 'g'), '\[[^\]]+\]', ' ', 'g') AS q FROM q),
 w AS (SELECT item_id, unnest(list_distinct(list_concat(list_transform(regexp_extract_all(q, '"([^"]+)"', 1), lambda p: trim(p)), list_filter(regexp_extract_all(q, '([a-z][a-z0-9_-]*\*?)', 1), lambda x: x NOT IN ('and', 'or', 'not'))))) AS atom FROM z)
 SELECT item_id, count(*) AS atoms, string_agg(atom, '|' ORDER BY atom) AS list FROM w GROUP BY 1""")
 def text_keyword_atoms(spark, d):
@@ -128,7 +128,7 @@ def _term_places(x: DataFrame, key: str) -> DataFrame:
     return x.select(key, "term", F.size("at").cast("long").alias("places"), text.nearest(F.col("at"), F.lit(50)).alias("nearest"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, regexp_extract(text, '(\d+)', 1) AS x, regexp_extract(trim(text), 'PMC[\s:]*(\d+)', 1, 'i') AS c FROM documents)
+@query(r"""WITH m AS (SELECT doc_id, regexp_extract(text, '(\d+)', 1) AS x, regexp_extract(upper(text), 'PMC\s*([0-9]+)', 1) AS c FROM documents)
 SELECT doc_id, CASE WHEN length(ltrim(x, '0')) BETWEEN 1 AND 9 THEN ltrim(x, '0') END AS pmid, CASE WHEN c <> '' THEN 'PMC' || c END AS pmcid,
   lower(substr(md5(doc_id || '::1'), 1, 8)) AS short FROM m WHERE x <> ''""")
 def text_ids(spark, d):

@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import squeeze
 
-#: Named character references that are decoded here; numbers are too (fixed values).
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Named character references that are decoded beside all numbers (fixed values); the ampersand comes last.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "\u2014", "ndash": "\u2013", "hellip": "\u2026", "lsquo": "\u2018", "rsquo": "\u2019",
+            "ldquo": "\u201c", "rdquo": "\u201d", "bull": "\u2022", "deg": "\u00b0", "micro": "\u00b5", "plusmn": "\u00b1", "times": "\u00d7", "eacute": "\u00e9",
+            "alpha": "\u03b1", "beta": "\u03b2", "gamma": "\u03b3", "kappa": "\u03ba", "amp": "&"}
+
+
+def numbered(x: Column) -> Column:
+    """Decimal and hexadecimal character references decoded; those beyond Unicode stay."""
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit(r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});")))
+    hexadecimal = lambda r: F.lower(F.substring(r, 1, 1)) == "x"
+    point = lambda r: F.when(hexadecimal(r), F.conv(F.substring(r, 2, 9), 16, 10)).otherwise(r).cast("int")
+    char = lambda r: F.decode(F.unhex(F.lpad(F.hex(point(r)), 8, "0")), "UTF-32")
+    valid = lambda r: point(r).between(1, 0x10FFFF) & ~point(r).between(0xD800, 0xDFFF)
+    return F.aggregate(F.filter(found, valid), x, lambda t, r: F.replace(t, F.concat(F.lit("&#"), r, F.lit(";")), char(r)))
 
 
 def plain(x: Column) -> Column:
-    """Text without tags, common references decoded, white space squeezed."""
-    x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
+    """Text without tags, numbered and common named references decoded, white space squeezed."""
+    x = numbered(F.regexp_replace(x, r"(?s)<[^>]*>", " "))
     for name, char in ENTITIES.items():
-        x = F.replace(x, F.lit(name), F.lit(char))
+        x = F.replace(x, F.lit(f"&{name};"), F.lit(char))
     return squeeze(x)
 
 

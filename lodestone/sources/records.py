@@ -87,10 +87,27 @@ def passages(documents: DataFrame) -> DataFrame:
                     F.lower(F.coalesce(F.try_element_at("p.infons", F.lit("type")), F.lit(""))).alias("passage_type"))
 
 
-def has_body(sections: Column, lengths: Column) -> Column:
-    """Whether passages hold more than title and abstract: another section, or three unknown ones of 1000 characters."""
-    front = F.filter(sections, lambda s: ~s.isin("TITLE", "ABSTRACT", "UNKNOWN", "FRONT"))
-    return (F.size(front) > 0) | ((F.size(sections) >= 3) & (F.aggregate(lengths, F.lit(0), lambda a, x: a + x.cast("int")) >= 1000))
+#: Types of body passages, sections that hold no body, and those that are passed over (fixed values).
+BODY_TYPES = ("paragraph", "paragrpah", "body", "text", "section", "subsection")
+FRONT_SECTIONS = ("TITLE", "ABSTRACT", "FRONT", "META")
+#: Least passages, characters and characters of unknown sections for a body without labels (fixed values).
+LEAST_PASSAGES, LEAST_CHARACTERS, LEAST_UNKNOWN = 3, 1000, 400
+
+
+def has_body(passages: Column) -> Column:
+    """Whether passages (structs section, type, text; blank texts do not count) hold more than title and abstract.
+
+    Outside the front sections a body type or a named section decides. Without one, three passages of 1,000 characters
+    do, of which 400 stand in unknown sections under another type than title, abstract or front.
+    """
+    p = F.filter(passages, lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != "")
+    section = lambda x: F.upper(F.coalesce(x["section"], F.lit("")))
+    kind = lambda x: F.lower(F.coalesce(x["type"], F.lit("")))
+    outside = F.filter(p, lambda x: ~section(x).isin(*FRONT_SECTIONS))
+    body = F.exists(outside, lambda x: kind(x).isin(*BODY_TYPES) | ~section(x).isin("", "UNKNOWN"))
+    size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x["text"]))
+    unknown = F.filter(outside, lambda x: (section(x) == "UNKNOWN") & ~kind(x).isin("title", "abstract", "front"))
+    return body | ((F.size(p) >= LEAST_PASSAGES) & (size(p) >= LEAST_CHARACTERS) & (size(unknown) >= LEAST_UNKNOWN))
 
 
 def pubmed(spark: SparkSession, path: str) -> DataFrame:
@@ -107,53 +124,79 @@ def pubmed(spark: SparkSession, path: str) -> DataFrame:
                       F.coalesce(F.nullif(date["Year"], F.lit("")), F.nullif(F.regexp_extract(date["MedlineDate"], r"\b((?:18|19|20)\d\d)\b", 1), F.lit(""))).alias("pub_year"))
 
 
+#: Elements whose paragraphs are not the body's (fixed values).
+NOT_BODY = frozenset("table-wrap table-wrap-group fig ref-list ack fn-group supplementary-material permissions".split())
+
+
 def jats_passages(xml: str) -> list[dict] | None:
-    """Title, abstract and body paragraphs of an article with their section and running offset; None without a body.
+    """Title, abstract and body paragraphs of an article with their section and running offset; None without a body
+    paragraph. Raises ParseError for malformed XML.
 
-    Paragraphs of an abstract count once each. Those in tables, figures, references and the like are left out.
+    Texts of abstracts count once each, whatever their case; an abstract without paragraphs is one. Paragraphs in
+    tables, figures, references and the like are left out. A section is named by the nearest heading above.
     """
     import xml.etree.ElementTree as ET
 
-    skipped = {"table-wrap", "fig", "ref-list", "fn-group", "supplementary-material", "ack", "caption"}
-    root, out, at = ET.fromstring(xml), [], 0
-    name = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    name = lambda e: e.tag.rpartition("}")[2].lower() if isinstance(e.tag, str) else ""
     text = lambda e: " ".join("".join(e.itertext()).split())
+    title, abstracts, body = [], {}, []
+
+    def walk(e, heading: str, where: frozenset) -> None:
+        kind = name(e)
+        if kind == "article-title" and not title:
+            title.append(text(e))
+        if kind == "abstract":
+            for x in [p for p in e.iter() if name(p) == "p"] or [e]:
+                abstracts.setdefault(text(x).casefold(), text(x))
+        if kind == "sec":
+            heading = next((text(c) for c in e if name(c) == "title"), heading)
+        if kind == "p" and "body" in where and not where & NOT_BODY:
+            body.append((heading, text(e)))
+        for c in e:
+            walk(c, heading, where | {kind})
 
-    def add(section: str, kind: str, t: str) -> None:
-        nonlocal at
+    walk(ET.fromstring(xml), "", frozenset())
+    body = [(h, t) for h, t in body if t]
+    if not body:
+        return None
+    out, at = [], 0
+    for section, kind, t in [*(("TITLE", "title", t) for t in title), *(("ABSTRACT", "abstract", t) for t in abstracts.values()), *((h or "BODY", "paragraph", t) for h, t in body)]:
         if t:
             out.append({"offset": at, "section": section, "type": kind, "text": t})
             at += len(t) + 2
-
-    def walk(e, heading: str) -> Iterator[tuple[str, str]]:
-        if name(e) in skipped:
-            return
-        if name(e) == "sec":
-            heading = next((text(c) for c in e if name(c) == "title"), heading)
-        if name(e) == "p":
-            yield heading, text(e)
-            return
-        for c in e:
-            yield from walk(c, heading)
-
-    for e in root.iter():
-        if name(e) == "article-title" and not out:
-            add("TITLE", "title", text(e))
-    said: set[str] = set()
-    for e in root.iter():
-        if name(e) == "abstract":
-            for p in (x for x in e.iter() if name(x) == "p"):
-                if text(p).casefold() not in said:
-                    said.add(text(p).casefold())
-                    add("ABSTRACT", "abstract", text(p))
-    body = next((e for e in root.iter() if name(e) == "body"), None)
-    if body is None:
-        return None
-    for heading, t in walk(body, ""):
-        add(heading or "BODY", "paragraph", t)
     return out
 
 
+def jats(files: DataFrame, raw: str = "value") -> DataFrame:
+    """One row per passage of JATS texts: every other column, pos, offset, section, type, text. Articles without a body
+    and malformed ones give no rows."""
+    import xml.etree.ElementTree as ET
+
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    i, keep = files.columns.index(raw), [c for c in files.columns if c != raw]
+    places = [files.columns.index(c) for c in keep]
+    fields = [files.schema[c] for c in keep]
+    schema = StructType([*fields, StructField("pos", LongType()), StructField("offset", LongType()), *(StructField(c, StringType()) for c in ("section", "type", "text"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for k, x in enumerate(b.column(i).to_pylist()):
+                try:
+                    found = jats_passages(x) if x else None
+                except ET.ParseError:
+                    found = None
+                for n, p in enumerate(found or []):
+                    at.append(k)
+                    rows.append((n, p["offset"], p["section"], p["type"], p["text"]))
+            took = b.take(pa.array(at, pa.int64()))
+            new = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(took.column(k) for k in places), *new], names=[*keep, "pos", "offset", "section", "type", "text"])
+
+    return files.mapInArrow(run, schema)
+
+
 def fetched(ids: DataFrame, fetch: Callable[[list[str]], dict[str, str]], size: int = 20) -> DataFrame:
     """id, status (found, missing, failed) and payload, asked for in lots by a function given by the caller."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

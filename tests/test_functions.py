@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import ids, similarity, text
 from lodestone.plans import table_queries
+from lodestone.sources import html
 
 
 def values(spark, f, rows):
@@ -21,7 +22,12 @@ def values(spark, f, rows):
     (text.singular, {"cells": "cell", "viruses": "virus", "bodies": "body", "classes": "class", "houses": "house", "virus": "virus", "mass": "mass", "movies": "movy", "shoes": "shoe", "cell": "cell"}),
     (text.abbreviation_key, {"T-reg– x": "Tregx"}),
     (ids.pmid, {"PMID: 00123": "123", "0": None, "1234567890": None, "none": None}),
-    (ids.pmcid, {"PMC123": "PMC123", "12.1": "PMC12", "x": None}),
+    (ids.pmcid, {"PMC123": "PMC123", "12.1": "PMC12", "x": None, "PMC:123": None, "see pmc 7": "PMC7", "PMCID: 9": "PMC9", "9 x": None}),
+    (text.looks_abbreviated, {"alpha/beta long name here": True, "-a": False, "abc\u2010def\u2010ghi\u2010jk": True, "a b": False, "X cell": True}),
+    (text.abbreviation_variants, {"s": ["s"], "T-regs": ["Tregs", "Treg"]}),
+    (text.strict_pmcid, {"a pmc 12 b": "PMC12", "xPMC12": None, "12": None}),
+    (text.service_type, {"Gene/Protein": "gene", "drug": "chemical", "species": None}),
+    (html.plain, {"caf&#233; &mdash; &#x1F600;<b>x</b>&amp;lt; &#xD800;": "café \u2014 😀 x &lt; &#xD800;", None: ""}),
     (ids.doi, {"https://doi.org/10.1/X": "10.1/x", "doi:10.2": "10.2", "": None}),
     (ids.tax_id, {"09606": "9606", "0": "", "x": ""}),
     (ids.cell_ontology_id, {"CL_0000001": "CL:0000001", "XCL:0000001": None}),

@@ -16,17 +16,22 @@ def test_non_crossing_keeps_long_and_nested(spark):
     assert got == [(0, 10, "cell", "a"), (0, 10, "gene", "d"), (2, 4, "gene", "c")]
 
 
-def test_rendered_tags_strip_back_to_the_text():
+def test_rendered_tags_strip_back_to_the_text(spark):
     rng = random.Random(1)
-    for _ in range(200):
-        text = "".join(rng.choice("ab cd") for _ in range(20))
-        spans = [{"start": s, "end": e, "type": t, "tag": f"G{i}"} for i, (s, e, t) in enumerate([(0, 20, "gene"), (2, 9, "cell"), (2, 9, "gene"), (4, 6, "gene")])]
-        out = annotations.render(text, spans)
-        assert re.sub(r"\[/?G\d+\]", "", out) == text
-        stack = []
-        for close, tag in re.findall(r"\[(/?)(G\d+)\]", out):
+    rows = []
+    for n in range(60):
+        text = "".join(rng.choice("ab cd😀") for _ in range(20))
+        spans = [(s, e, t, f"G{i}") for i, (s, e, t) in enumerate([(0, 20, "gene"), (2, 9, "cell"), (2, 9, "gene"), (4, 6, "gene"), (9, 12, "cell")])]
+        rows.append((text, rng.sample(spans, n % 6)))
+    df = spark.createDataFrame([*rows, (None, None)], "text string, spans array<struct<start:int,end:int,type:string,tag:string>>")
+    for r in annotations.render_tags(df).collect():
+        assert re.sub(r"\[/?G\d+\]", "", r.tagged) == (r.text or "")
+        stack, at = [], 0
+        for close, tag in re.findall(r"\[(/?)(G\d+)\]", r.tagged):
             assert not close or stack.pop() == tag
             stack += [] if close else [tag]
+        for s in r.spans or []:
+            assert re.sub(r"\[/?G\d+\]", "", r.tagged.split(f"[{s.tag}]")[1].split(f"[/{s.tag}]")[0]) == r.text[s.start:s.end]
 
 
 def test_clean_triples(spark):
@@ -88,13 +93,39 @@ def test_xml_sources(spark, tmp_path):
 
 
 def test_user_input():
-    p = query_input.parse('insulin, "beta cell", not mouse, PMID: 0123, PMC77, insulin')
-    assert (p.keywords, p.exclusions, p.pmids, p.pmcids) == (["insulin", "beta cell"], ["mouse"], ["123"], ["PMC77"])
-    for bad in ("not", "not PMC1", "12345678901", "PMCID: x"):
+    p = query_input.parse('insulin, "beta cell", not mouse, PMID: 0123, PMC77, insulin, not: rat, not-for-profit, 77 [PMID], pmcid=PMC 8.2, nothing')
+    assert (p.keywords, p.exclusions) == (["insulin", "beta cell", "insulin", "not-for-profit", "nothing"], ["mouse", "rat"])
+    assert (p.pmids, p.pmcids) == (["123", "77"], ["PMC77", "PMC8"])
+    for bad in ("not", "not:", "not PMC1", "not 7", "12345678901", "PMCID: x", "PMCfoo", "PMID x", "***", "0", '"open'):
         with pytest.raises(ValueError):
             query_input.parse(bad)
+    new, left_out = query_input.effective(p, {"insulin*"}, {"123"})
+    assert (new.keywords, new.pmids, left_out) == (["beta cell", "not-for-profit", "nothing"], ["77"], 3)
+    assert query_input.clause("a", new) == '((a) OR "beta cell" OR not-for-profit OR nothing) NOT mouse NOT rat'
+
+
+def test_covered_keywords():
+    assert query_input.atoms('"Beta  Cell" AND insulin*[ti] PMC12 not x') == {"beta cell", "beta", "cell", "insulin*", "x"}
     assert query_input.covered("insulins", {"insulin*"}) and not query_input.covered("ins", {"insulin"})
-    assert query_input.clause("a", p) == '((a) OR insulin OR "beta cell") NOT mouse'
+    assert query_input.covered("ins*", {"insulin"}) and not query_input.covered("insulin resistance", {"insulin*"})
+    assert query_input.covered("beta cell", {"beta", "cell"}) and not query_input.covered('"beta cell"', {"beta", "cell"})
+
+
+def test_body_text(spark):
+    long = "x" * 400
+    cases = {True: [[("INTRO", "", "a")], [("", "paragraph", "a")], [("UNKNOWN", "x", long)] * 3, [("METHODS", "title", "a")]],
+             False: [[], [("TITLE", "title", "a"), ("ABSTRACT", "paragraph", "a")], [("META", "body", long)] * 4, [("UNKNOWN", "front", long)] * 3, [("INTRO", "body", " ")], [("UNKNOWN", "x", "a")] * 3]}
+    rows = [(want, ps) for want, lists in cases.items() for ps in lists]
+    df = spark.createDataFrame(rows, "want boolean, p array<struct<section:string,type:string,text:string>>")
+    assert all(r.got == r.want for r in df.select("want", records.has_body(F.col("p")).alias("got")).collect())
+
+
+def test_jats_documents(spark):
+    article = ("<article><front><article-title>T</article-title><abstract>whole</abstract><abstract><p>A</p><p>a</p></abstract></front><body><p>one</p><table-wrap-group><p>no</p></table-wrap-group>"
+               "<fig><caption><p>no</p></caption></fig><boxed-text><caption><p>yes</p></caption></boxed-text></body><sub-article><body><sec><title>M</title><sec><p>two</p></sec></sec></body></sub-article></article>")
+    df = spark.createDataFrame([("k", article), ("bad", "<a>"), ("none", "<article><body/></article>"), ("null", None)], "id string, value string")
+    got = [(r.id, r.pos, r.offset, r.section, r.text) for r in records.jats(df).orderBy("pos").collect()]
+    assert got == [("k", 0, 0, "TITLE", "T"), ("k", 1, 3, "ABSTRACT", "whole"), ("k", 2, 10, "ABSTRACT", "A"), ("k", 3, 13, "BODY", "one"), ("k", 4, 18, "BODY", "yes"), ("k", 5, 23, "M", "two")]
 
 
 def test_fetch_fallback(spark):
