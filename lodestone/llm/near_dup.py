@@ -13,7 +13,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, counted, discard, durable, looked_up, ship, table
+from lodestone.llm.common import WORD, ship, table
+from lodestone.operators.linking import components
+from lodestone.tables import counted, durable, held, looked_up
 
 #: Slots that shingle hashes fall into before they are permuted; the second permutation is a table of this length.
 SLOTS = 1 << 22
@@ -130,6 +132,15 @@ def sets_partition(words: int, wanted: np.ndarray) -> Callable:
     return run
 
 
+def wanted_partition(wanted: np.ndarray) -> Callable:
+    """Rows whose last column, a bit's place, is on in the filter (a few others may come along), without that column."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column(batch.num_columns - 1).to_numpy()
+            yield batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7)) & 1 == 1)).select(list(range(batch.num_columns - 1)))
+    return run
+
+
 def bit_of(id_: str) -> Column:
     return F.pmod(F.xxhash64(id_), F.lit(FILTER))
 
@@ -144,6 +155,12 @@ def filter_of(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def filtered(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (row, ...) that may be among the ids: most others are left out before anything is moved."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.withColumn("__bit", bit_of("row")).mapInArrow(wanted_partition(filter_of(ids)), schema)
+
+
 def alike_partition(least: float, percent: int) -> Callable:
     """Pairs whose sizes fit and whose sketches agree in so many places that the texts may be alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,48 +212,6 @@ def cross_pairs(least: float, percent: int) -> Callable:
     return run
 
 
-def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
-    """id, component (the smallest id reachable) for every id in edges (x, y).
-
-    In each round every node hooks on to its smallest neighbour, pointer jumping brings each to the root of its tree,
-    and the edges are contracted to those left between roots. A root either takes in all its neighbours or meets a
-    smaller one, so two rounds at least halve the nodes, and jumps double the height that they climb: the number of
-    tables made is logarithmic. A node known to hang from a root takes no part in further jumps. The rounds' maps,
-    each smaller than the one before, are put together at the end. `rounds` gets the number of jumps of every round.
-    """
-    edges, left = counted(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
-    maps = []
-    while left or not maps:
-        both = edges.union(edges.select("y", "x"))
-        hooks = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("up")).select("node", F.least("node", "up").alias("up"))
-        hooks, moving = counted(hooks.withColumn("done", F.col("node") == F.col("up")), "not done")
-        jumps = 0
-        while moving:  # up is an ancestor; done if that is a root
-            over = looked_up(hooks.where("not done"), hooks.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", total=moving)
-            over = over.select("node", F.col("top").alias("up"), (F.col("up") == F.col("top")).alias("done"))
-            old = hooks
-            hooks, moving = counted(over.union(hooks.where("done")), "not done")
-            discard(old)
-            jumps += 1
-        maps.append(hooks.drop("done"))
-        if rounds is not None:
-            rounds.append(jumps)
-        up = lambda c, to: hooks.select(F.col("node").alias(c), F.col("up").alias(to))
-        over = looked_up(looked_up(edges, up("x", "a"), "x", total=left), up("y", "b"), "y", many=held(edges, "y"), total=left)
-        old = edges
-        edges, left = counted(over.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
-        discard(old)
-    out = maps.pop()
-    for m in reversed(maps):
-        out = durable(looked_up(m, out.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("up")))
-    return out.select(F.col("node").alias("id"), F.col("up").alias("component"))
-
-
-def held(rows: DataFrame, key: str) -> DataFrame:
-    """How many rows each key holds, as looked_up() takes it."""
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("__many"))
-
-
 def text_keys(text: Column) -> list[Column]:
     """Two 64-bit hashes that stand for a text; a null text is empty."""
     given = F.coalesce(text.cast("string"), F.lit(""))
@@ -265,7 +240,8 @@ def grouped(docs: DataFrame, plan: Plan) -> DataFrame:
         return looked_up(left, of("y"), "y", many=held(pairs, "y"), total=n)
 
     def alike(pairs: DataFrame, n: int) -> DataFrame:
-        of = lambda k: signed.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+        few = filtered(signed.select("row", "n", "sketch"), pairs.select("x").union(pairs.select("y")))
+        of = lambda k: few.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         return beside(pairs, n, of).select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(alike_partition(plan.least_estimate, plan.percent), "x long, y long")
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, int]:
@@ -322,8 +298,9 @@ def open_pairs(placed: DataFrame, open_: DataFrame, signed: DataFrame, plan: Pla
     chunks = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
     of = lambda salt, c: F.pmod(F.xxhash64("id", F.lit(salt)), chunks(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), chunks(c) - 1))
+    ids = placed.join(open_.select("key"), "key", "left_semi").select("id")
     rows = (looked_up(placed.select("key", "id", "component"), open_, "key").withColumn("minor", F.col("component") != F.col("major"))
-            .join(signed.select(F.col("row").alias("id"), "n", "bands", "sketch"), "id"))
+            .join(filtered(signed.select("row", "n", "bands", "sketch"), ids).withColumnRenamed("row", "id"), "id"))
     home = rows.withColumns({"ci": of("home", "members"), "cj": every("minors"), "guest": F.lit(False)})
     guests = rows.where("minor").withColumns({"cj": of("guest", "minors"), "ci": every("members"), "guest": F.lit(True)})
     columns = ["key", "ci", "cj", "guest", "minor", "id", "n", "component", "bands", "sketch"]
