@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, durable, table, word_count
+from lodestone.llm.common import WORD, table, word_count
+from lodestone.tables import durable
 
 WEIGHTS = (5, 2, 1)
 #: No source may be taken more often than this, nor any of its documents.
@@ -171,8 +172,8 @@ m AS (SELECT k.*, coalesce(quota, 0) AS quota FROM k LEFT JOIN q USING (rank)),
 z AS (SELECT CAST((SELECT min(g) FROM range(0, 9) AS t(g) WHERE pow(16, 2 * g) >= (SELECT count(*) FROM d)) AS INT) AS digits),
 r AS (SELECT d.*, coalesce('s' || source, 'null') AS key, substring(h, 1, digits) AS shard,
         CAST(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS p FROM d, z),
-n AS (SELECT key, source, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(min(p) AS BIGINT) AS at FROM r GROUP BY key, source, shard),
-o AS (SELECT n.*, block, quota, (at + block - 1) // block AS first, (at + shard_size + block - 1) // block - (at + block - 1) // block AS own
+n AS (SELECT key, source, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(min(p) AS BIGINT) AS begin_at FROM r GROUP BY key, source, shard),
+o AS (SELECT n.*, block, quota, (begin_at + block - 1) // block AS first, (begin_at + shard_size + block - 1) // block - (begin_at + block - 1) // block AS own
       FROM n JOIN m ON n.source IS NOT DISTINCT FROM m.source),
 v AS (SELECT key, shard, count(*) AS won FROM (
         SELECT key, shard, row_number() OVER (PARTITION BY key ORDER BY CAST(own AS DOUBLE) / (2 * s - 1) DESC, shard) AS place,

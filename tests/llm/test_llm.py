@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lodestone.operators import linking
 from lodestone.llm import (chat_format, context_mixing, html_blocks, mixing, near_dup, packing, shard_tree, topk_threshold,
                            toxicity, winnowing)
 
@@ -124,7 +125,7 @@ def test_components_of_a_long_chain(spark):
     order = list(range(n))
     random.Random(1).shuffle(order)
     edges = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])] + [(n + 1, n + 2)], "x long, y long")
-    out = near_dup.components(edges, rounds)
+    out = linking.components(edges, rounds)
     got = dict((r.id, r.component) for r in out.collect())
     assert set(got.values()) == {0, n + 1} and len(got) == n + 2
     assert sum(rounds) <= 2 * math.log2(n) + 1
@@ -133,7 +134,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_components_of_a_sorted_chain(spark):
     rounds = []
-    got = near_dup.components(spark.range(1500).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y")), rounds).agg(F.max("component"), F.count("*")).head()
+    got = linking.components(spark.range(1500).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y")), rounds).agg(F.max("component"), F.count("*")).head()
     assert tuple(got) == (0, 1501) and len(rounds) == 1 and rounds[0] <= 12
 
 
