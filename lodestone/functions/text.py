@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -212,3 +214,15 @@ def has_parenthetical(a: Column, b: Column) -> Column:
 def identifier_parts(x: Column) -> Column:
     """Pieces between commas, semicolons and pipes; blanks and placeholders go."""
     return F.filter(F.transform(F.split(given(x), r"[,;|]"), lambda p: F.trim(p)), lambda p: ~F.lower(p).isin("", "-", "none", "null", "nan"))
+
+
+def boolean_match(x: Column, wanted: list[str], excluded: list[str]) -> Column:
+    """Whether a text holds any wanted term (all texts do, if there is none) and no excluded one, whatever the case."""
+    low = F.lower(given(x))
+    holds = lambda terms, start: functools.reduce(lambda a, t: a | low.contains(t.lower()), terms, F.lit(start))
+    return holds(wanted, not wanted) & ~holds(excluded, False)
+
+
+def json_number(x: Column, path: str) -> Column:
+    """A whole number in a JSON text; null if there is none."""
+    return F.get_json_object(x, path).try_cast("long")

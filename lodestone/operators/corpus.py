@@ -55,3 +55,21 @@ def fetch_again(pmcid: Column, version: Column, current: str, status: Column, ch
     retry = F.coalesce(status, F.lit("")).isin("failed", "pending_retry", "service_error", "", "downloaded")
     return (F.when(pmcid.isNull() | (pmcid == ""), False).when(F.coalesce(version, F.lit("")) != current, True).when(retry, True)
             .when(status != "not_available", F.lit(False)).otherwise(checked.isNull() | (checked <= now - F.expr("INTERVAL 7 DAYS"))))
+
+
+def joined_text(rows: DataFrame, key: str, order: list[str], text: str) -> DataFrame:
+    """key, joined: the texts of a document's chunks, in order, with a line end between."""
+    parts = F.array_sort(F.collect_list(F.struct(*order, text)))
+    return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p[text]), "\n").alias("joined"))
+
+
+def most_alike(docs: DataFrame, items: DataFrame, key: str, item: str) -> DataFrame:
+    """key, item, jaccard: for every document the item whose words overlap its own most (the smaller of ties).
+
+    docs: (key, words), items: (item, words), words without repeats. Documents meet items at the words they share, so no
+    pair without a common word is made; items are the query set, whose size the planner knows.
+    """
+    of = lambda df, k, n: df.select(k, F.size("words").alias(n), F.explode("words").alias("word"))
+    both = of(docs, key, "n").join(of(items, item, "m"), "word").groupBy(key, item, "n", "m").agg(F.count(F.lit(1)).alias("both"))
+    scored = both.withColumn("jaccard", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
+    return scored.groupBy(key).agg(F.min(F.struct((-F.col("jaccard")).alias("far"), item)).alias("b")).select(key, f"b.{item}", (-F.col("b.far")).alias("jaccard"))

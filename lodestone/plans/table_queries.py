@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids, similarity, text
-from lodestone.operators import annotations, corpus, ontology, relations, sequences, vectors
+from lodestone.operators import annotations, corpus, matching, ontology, relations, sequences, vectors
 from lodestone.plans.star import table
-from lodestone.sources import html
+from lodestone.sources import html, query_input
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -83,8 +83,8 @@ def _keyword_atoms(x: DataFrame, key: str) -> DataFrame:
 
 @query(r"""SELECT doc_id FROM documents WHERE (contains(lower(text), 'the') OR contains(lower(text), 'que')) AND NOT contains(lower(text), 'idiot')""")
 def text_boolean_search(spark, d):
-    low = F.lower("text")
-    return table(spark, d, "documents").where((low.contains("the") | low.contains("que")) & ~low.contains("idiot")).select("doc_id")
+    said = query_input.parse("the, que, not idiot")
+    return table(spark, d, "documents").where(text.boolean_match(F.col("text"), said.keywords, said.exclusions)).select("doc_id")
 
 
 @query(r"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(text, '([\p{L}\p{N}\p{M}]+|[^\w\s]|_)')) AS w FROM benchmark),
@@ -139,8 +139,7 @@ def text_ids(spark, d):
 
 @query(r"SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS whole FROM conversations GROUP BY 1")
 def text_concat_by_doc(spark, d):
-    x = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return x.select("conv_id", F.array_join(F.transform("t", lambda t: t["text"]), "\n").alias("whole"))
+    return corpus.joined_text(table(spark, d, "conversations"), "conv_id", ["turn", "role"], "text").withColumnRenamed("joined", "whole")
 
 
 @query(r"""SELECT md5(text) AS text_key, min(doc_id) AS first, count(*) AS copies, arg_min(source, doc_id) AS source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY 1""")
@@ -158,12 +157,15 @@ def corpus_anti_baseline(spark, d):
     return corpus.added(table(spark, d, "documents").select("doc_id", "source"), good.unionByName(known), ["doc_id", "source"])
 
 
-@query(r"""WITH RECURSIVE k AS (SELECT doc_id, 'a' || md5(text) AS key FROM documents UNION ALL SELECT doc_id, 'b' || md5(substr(text, 1, 60)) FROM documents),
-e AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM k a JOIN k b USING (key)),
-r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.seen = e.x)
+@query(r"""WITH RECURSIVE k AS (SELECT doc_id, 'a' || md5(lower(trim(regexp_replace(text, '[\pZ\s]+', ' ', 'g')))) AS key FROM documents
+  UNION ALL SELECT doc_id, 'b' || source || '/' || n_chars FROM documents WHERE source IS NOT NULL),
+f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY 1),
+e AS (SELECT DISTINCT doc_id AS x, first AS y FROM k JOIN f USING (key) WHERE doc_id <> first),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN b ON r.seen = b.x)
 SELECT doc_id, min(seen) AS paper FROM r GROUP BY 1""")
 def corpus_components(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.md5("text").alias("a"), F.md5(F.substring("text", 1, 60)).alias("b"))
+    x = table(spark, d, "documents").select("doc_id", F.md5(text.norm(F.col("text"))).alias("a"), F.concat("source", F.lit("/"), F.col("n_chars").cast("string")).alias("b"))
     return corpus.resolve(x, "doc_id", [F.col("a"), F.col("b")]).select("doc_id", "paper")
 
 
@@ -189,13 +191,12 @@ def annot_candidate_keys(spark, d):
     return annotations.by_candidate_keys(events, orders, "event_id", "o_orderkey", ["a", "b"]).withColumn("o_orderkey", F.coalesce("o_orderkey", F.lit(-1)))
 
 
-@query("""SELECT s_nationkey AS tax, count(*) AS kept, CAST(sum(CASE WHEN p_size IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unresolved
-FROM lineitem JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey WHERE s_nationkey IN (3, 7) GROUP BY 1""")
+@query("""SELECT CASE WHEN p_size IS NULL THEN 'unresolved' WHEN p_size > 25 THEN 'human' ELSE 'other' END AS kept, count(*) AS genes
+FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey GROUP BY 1""")
 def annot_lookup_filter(spark, d):
-    human = table(spark, d, "supplier").where(F.col("s_nationkey").isin(3, 7)).select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("tax"))
-    names = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    x = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(human, "l_suppkey").join(names, "l_partkey", "left")
-    return x.groupBy("tax").agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("p_size").isNull()).alias("unresolved"))
+    known = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").cast("string").alias("gene_id"), F.when(F.col("p_size") > 25, matching.HUMAN).otherwise("10090").alias("tax_id"))
+    found = matching.human_genes(table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("gene_id")), known)
+    return found.groupBy("kept").agg(F.count(F.lit(1)).alias("genes"))
 
 
 @query("""SELECT o_custkey, CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'true' WHEN bool_or(o_orderstatus = 'F') THEN 'true' WHEN bool_and(o_orderstatus <> 'P') THEN 'false' ELSE 'unknown' END AS positive FROM orders GROUP BY 1""")
@@ -223,12 +224,16 @@ def vec_best_per_label(spark, d):
     return vectors.best_per_concept(top, "query_id", "label", "score", "vec_id")
 
 
-@query(r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\pZ\s]+'), lambda x: x <> '')) AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON b.item_id = a.item_id + 1""")
+@query(r"""WITH w AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\pZ\s]+'), lambda x: x <> ''))) AS w FROM benchmark),
+v AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\pZ\s]+'), lambda x: x <> ''))) AS w FROM documents),
+n AS (SELECT item_id, count(*) AS n FROM w GROUP BY 1), m AS (SELECT doc_id, count(*) AS m FROM v GROUP BY 1),
+c AS (SELECT doc_id, item_id, count(*) AS c FROM v JOIN w USING (w) GROUP BY 1, 2),
+j AS (SELECT doc_id, item_id, CAST(c AS DOUBLE) / (n + m - c) AS j FROM c JOIN n USING (item_id) JOIN m USING (doc_id))
+SELECT doc_id, item_id, round(j, 6) AS jaccard FROM j QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY j DESC, item_id) = 1""")
 def sim_jaccard(spark, d):
-    w = table(spark, d, "benchmark").select("item_id", similarity.word_set(F.col("text")).alias("w"))
-    b = w.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("w").alias("v"))
-    return w.join(b, "item_id").select(F.col("item_id").alias("a"), "b", F.round(similarity.set_jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
+    items = table(spark, d, "benchmark").select("item_id", similarity.word_set(F.col("text")).alias("words"))
+    docs = table(spark, d, "documents").select("doc_id", similarity.word_set(F.col("text")).alias("words"))
+    return corpus.most_alike(docs, items, "doc_id", "item_id").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query()
@@ -280,8 +285,8 @@ def span_noncrossing(spark, d):
 
 @query("""SELECT event_type, count(*) AS events, count(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS numbers, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1""")
 def json_props(spark, d):
-    k = F.get_json_object("props", "$.k")
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count(k.try_cast("int")).alias("numbers"), F.sum(k.try_cast("long")).alias("total"))
+    k = text.json_number(F.col("props"), "$.k")
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count(k).alias("numbers"), F.sum(k).alias("total"))
 
 
 @query(f"""SELECT event_id, CASE WHEN user_id % 10 = 0 THEN false WHEN event_type = 'view' THEN true WHEN value < 10 THEN true ELSE ts <= TIMESTAMP '{NOW}' - INTERVAL 7 DAY END AS again FROM events""")
