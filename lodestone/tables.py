@@ -61,8 +61,9 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: A key that holds more than one in so many rows is hot, so there are at most so many hot keys.
-HOT = 1000
+#: A key that holds more than one in so many rows is hot, so there are at most so many hot keys; and the rows that one
+#: task takes in any case, so that smaller tables need no look at their keys.
+HOT, FEW = 1000, 20_000
 
 
 def looked_up(rows: DataFrame, found: DataFrame, key: str, how: str = "inner", many: DataFrame | None = None, total: int | None = None) -> DataFrame:
@@ -72,8 +73,11 @@ def looked_up(rows: DataFrame, found: DataFrame, key: str, how: str = "inner", m
     each. The list of hot keys has at most HOT rows, whatever the size, and so is broadcast. `many` (key, __many) and
     `total` may be given where the counts are known already.
     """
-    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__many")) if many is None else many
-    least = -(-max(rows.count() if total is None else total, 1) // HOT)
+    total = rows.count() if total is None else total
+    if total <= FEW:
+        return rows.join(found, key, how)
+    many = held(rows, key) if many is None else many
+    least = -(-total // HOT)
     hot = F.broadcast(many.where(F.col("__many") > F.lit(least)).select(F.col(key).alias("__hot"), F.ceil(F.col("__many") / F.lit(least)).cast("int").alias("__parts")))
     here = F.col(key) == F.col("__hot")
     rest = [c for c in rows.columns if c != key]
