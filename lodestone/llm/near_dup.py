@@ -272,6 +272,8 @@ def grouped(docs: DataFrame, plan: Plan) -> DataFrame:
         else:  # one of each component first
             reps = looked_up(parts.select("key", "component", "rep"), open_, "key").where("component <> major")
             reps, n = counted(reps.select(F.greatest("rep", "hub").alias("x"), F.least("rep", "hub").alias("y")).distinct().join(stars, ["x", "y"], "left_anti"))
+            if not n:
+                continue
             more = alike(reps, n)
             stars = stars.union(reps)
         links, n = verified(more)
