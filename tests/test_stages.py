@@ -3,8 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import annotating, corpus, linking, normalizing, projections
-from lodestone.sources import bundles, client
+from lodestone import engine
+from lodestone.operators import annotating, corpus, linking, models, normalizing, projections
+from lodestone.sources import artifacts, bundles, client
+from lodestone.streaming import journal
 
 
 def test_components_and_resolution(spark):
@@ -120,3 +122,62 @@ def test_usage_of_answers(spark):
     raw = [json.dumps({"usage": {"input_tokens": 9, "output_tokens": 2, "input_tokens_details": {"cached_tokens": 4}}}), "{}", "no json", None]
     got = [tuple(r.u) for r in spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, x string").orderBy("i").select(annotating.usage_of(F.col("x")).alias("u")).collect()]
     assert got == [(9, 4, 2), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+
+
+def test_recognised_spans(spark):
+    def model(windows):
+        return [[[0, 2, 0] if t == "beta" else [0, 0, 2] if t == "cells" else [1, 0, 0] for t in w] for w in windows]
+
+    df = spark.createDataFrame([(1, "The beta cells, and beta beta cells."), (2, ""), (3, "x " * 40 + "beta cells")], "id long, text string")
+    got = sorted((r.id, r.start, r.mention, r.label) for r in models.recognise(df, "id", "text", model, ["O", "B-cell", "I-cell"], 8, 3).collect())
+    assert got == [(1, 4, "beta cells", "cell"), (1, 20, "beta", "cell"), (1, 25, "beta cells", "cell"), (3, 80, "beta cells", "cell")]
+
+
+def test_names_are_encoded_once(spark):
+    cache = spark.createDataFrame([("a", [1.0])], "name string, vector array<double>")
+    names = spark.createDataFrame([("a",), ("bb",), ("bb",), (None,)], "name string")
+    every, new = models.encoded(names, cache, lambda xs: [[float(len(x))] for x in xs])
+    assert {r.name: r.vector for r in every.collect()} == {"a": [1.0], "bb": [2.0]} and [r.name for r in new.collect()] == ["bb"]
+
+
+def test_journal_replays_and_goes_on(spark, tmp_path):
+    lines = ['{"id": "a", "attempt": 1, "ok": false, "input_tokens": 5}', '{"id": "a", "attempt": 2, "ok": true, "payload": "x", "input_tokens": 6}', '{"id": "b", "attempt": 1, "ok": false}', '{"id": "c", "att']
+    (tmp_path / "j.jsonl").write_text("\n".join(lines))
+    j = journal.read(spark, str(tmp_path / "j.jsonl"))
+    state = {r.id: (r.attempts, r.done, r.payload, r.input_tokens) for r in journal.replay(j).collect()}
+    assert state == {"a": (2, True, "x", 11), "b": (1, False, None, 0)}
+    todo = journal.remaining(spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "bad")], "id string, text string"), j)
+    assert {r.id: r.attempt for r in todo.collect()} == {"b": 2, "c": 1}
+
+    def call(t):
+        if t == "bad":
+            raise ValueError(t)
+        return t.upper()
+
+    assert {r.id: (r.ok, r.payload) for r in journal.answered(todo, "text", call).collect()} == {"b": (True, "T"), "c": (False, "bad")}
+    done, owed = journal.complete(spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("b",), ("c",)], "id string"), "id")
+    assert [r.id for r in done.collect()] == ["b"] and {r.id: r.owed for r in owed.collect()} == {"a": "right", "c": "left"}
+
+
+def test_artifacts_are_checked(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n{"x": 2}\n')
+    d = artifacts.digest(spark, str(tmp_path / "a.jsonl"))
+    assert artifacts.verified(spark, str(tmp_path / "a.jsonl"), d) and artifacts.rows_in(spark, str(tmp_path / "a.jsonl")) == 2
+    with pytest.raises(ValueError):
+        artifacts.verified(spark, str(tmp_path / "a.jsonl"), "0")
+    assert artifacts.gzipped(spark, str(tmp_path / "a.jsonl"), str(tmp_path / "z")) == 2 == artifacts.gzipped(spark, str(tmp_path / "gone"), str(tmp_path / "z"))
+    root = "/r"
+    papers = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "paper string")
+    manifest = spark.createDataFrame([("1", "/r/x"), ("2", "/etc/x"), ("3", "/r/../x")], "paper string, path string")
+    files = spark.createDataFrame([("/r/x",), ("/r/1.bioc.json",), ("/etc/x",), ("/r/2.bioc.json.gz",), ("/r/../x",)], "path string")
+    assert {r.paper: r.path for r in artifacts.cached_paths(papers, manifest, files, root).collect()} == {"1": "/r/x", "2": "/r/2.bioc.json.gz", "3": None, "4": None}
+
+
+def test_terms_in_view(spark):
+    nodes = spark.createDataFrame([("C-1", "cell", "N1", "b"), ("C-2", "cell", "N1", "a"), ("G-1", "gene", "g", "g")], "id string, entity_type string, normalized_id string, label string")
+    edges = spark.createDataFrame([("e", "C-1", "G-1", 2, 2)], "id string, subject_id string, object_id string, paper_count long, evidence_count long")
+    of = spark.createDataFrame([("N1", "C-1"), ("N2", None)], "term string, id string")
+    kind, found = engine.term_view("N1", of, nodes, edges)
+    assert kind == "graph" and found.count() == 1 and engine.term_view("N2", of, nodes, edges) == ("ontology", None)
+    assert [(r.term, r.id) for r in engine.visible_terms(nodes).collect()] == [("N1", "C-2")]
+    assert engine.evidence_filter(nodes, " B ", ["label", "id"]).count() == 1 and engine.evidence_filter(nodes, "", ["label"]).count() == 3
