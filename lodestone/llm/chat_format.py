@@ -118,7 +118,8 @@ def digest(chat: DataFrame, template: dict = TEMPLATE) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and the probe conversation -1, formatted and read back."""
+    """All conversations and the probe conversation -1, formatted and read back. Rows of the table that are numbered -1
+    join the probe's, by turn."""
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = spark.range(1).select(

@@ -427,6 +427,12 @@ def test_chat_round_trip(spark):
         assert back[c] == [(a or "", b or "") for _, _, a, b, _ in sorted((x for x in rows if x[0] == c), key=lambda x: x[1])]
 
 
+def test_chat_of_long_texts(spark):
+    text = "<|im_end|> a \\<| b\n" * 20_000
+    got = chat_format.digest(chat_format.format_chat(spark.createDataFrame([(1, 0, "user", text, ""), (1, 1, "assistant", text, "")], CHAT))).head()
+    assert got.loss_chars == len(text) and got.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_chat_digest_and_order(spark):
     rows = [(1, 1, "assistant", "b<|", "v"), (1, 0, "user", "a", "v"), (2, 0, "assistant", "z", "v"), (None, 0, "user", None, "v")]
     got = {r.conv_id: r for r in chat_format.digest(chat_format.format_chat(spark.createDataFrame(rows, CHAT))).collect()}
@@ -671,6 +677,12 @@ def test_pieces_rebuild_every_document(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_rows_without_doc_id_are_packed(spark):
+    rows = [(None, "one two"), (None, "one two"), (None, None), (7, "three")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(r.doc_id for r in got) == {None: 3, 7: 1} and sorted(r.offset for r in got) == [0, *np.cumsum([r.length for r in sorted(got, key=lambda r: r.offset)])[:-1].tolist()]
+
+
 def test_units_give_the_tokenizers_ids():
     encode, r = packing.Encoder(packing.TOKENIZER, 1), random.Random(3)
     letters = "ab1 .\n\t\r\x0b\x1c\x1d\x85\xa0 　​é中😀'sd|<>\x00"
