@@ -145,6 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT) -> Machi
     part = lambda label, most: known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(most)
     chosen = F.broadcast(part(1, TOXIC_ROWS).unionByName(part(0, OTHER_ROWS)))  # bounded by the two limits
     texts = (docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id")
+             .groupBy("id", "toxic").agg(F.min("text").alias("text"))  # one text of rows that share an id
              .select("toxic", "text").mapInArrow(terms_partition, "toxic int, terms binary"))
     got = texts.toArrow()
     rows = sorted(zip(got["toxic"].to_pylist(), got["terms"].to_pylist(), strict=True))
@@ -187,7 +188,11 @@ def accept_partition(machine: Machine, at: int, threshold: float) -> Callable:
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are not predicted toxic, with every column of the input."""
+    """The documents that are not predicted toxic, with every column of the input, whatever its name.
+
+    A null or empty text is judged as one without terms; rows that repeat, or have no doc_id, are judged each. Labels
+    count as in score_toxicity(). An empty table gives no rows.
+    """
     machine = learn(docs, labels)
     return docs.mapInArrow(accept_partition(machine, docs.columns.index("text"), threshold), docs.schema)
 
