@@ -71,7 +71,8 @@ def looked_up(rows: DataFrame, found: DataFrame, key: str, how: str = "inner", m
 
     A hot key's rows are dealt to as many parts as it holds thousandths of all rows, and its row of `found` is copied to
     each. The list of hot keys has at most HOT rows, whatever the size, and so is broadcast. `many` (key, __many) and
-    `total` may be given where the counts are known already.
+    `total` may be given where the counts are known already. The join is by merging whatever the size of `found`, so what
+    it moves at one size tells what it moves at another.
     """
     total = rows.count() if total is None else total
     if total <= FEW:
@@ -85,7 +86,7 @@ def looked_up(rows: DataFrame, found: DataFrame, key: str, how: str = "inner", m
     dealt = rows.join(hot, here, "left").withColumn("__part", F.coalesce(part, F.lit(0)).cast("int")).drop("__hot", "__parts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1)
     copied = found.join(hot, here, "left").withColumn("__part", F.explode(copies)).drop("__hot", "__parts")
-    return dealt.join(copied, [key, "__part"], how).drop("__part")
+    return dealt.join(copied.hint("merge"), [key, "__part"], how).drop("__part")
 
 
 def held(rows: DataFrame, key: str) -> DataFrame:
