@@ -302,7 +302,7 @@ def open_pairs(placed: DataFrame, open_: DataFrame, signed: DataFrame, plan: Pla
     every = lambda c: F.explode(F.sequence(F.lit(0), chunks(c) - 1))
     ids = placed.join(open_.select("key"), "key", "left_semi").select("id")
     rows = (looked_up(placed.select("key", "id", "component"), open_, "key").withColumn("minor", F.col("component") != F.col("major"))
-            .join(filtered(signed.select("row", "n", "bands", "sketch"), ids).withColumnRenamed("row", "id"), "id"))
+            .join(filtered(signed.select("row", "n", "bands", "sketch"), ids).withColumnRenamed("row", "id").hint("merge"), "id"))
     home = rows.withColumns({"ci": of("home", "members"), "cj": every("minors"), "guest": F.lit(False)})
     guests = rows.where("minor").withColumns({"cj": of("guest", "minors"), "ci": every("members"), "guest": F.lit(True)})
     columns = ["key", "ci", "cj", "guest", "minor", "id", "n", "component", "bands", "sketch"]
