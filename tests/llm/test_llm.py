@@ -129,7 +129,7 @@ def test_components_of_a_long_chain(spark):
     got = dict((r.id, r.component) for r in out.collect())
     assert set(got.values()) == {0, n + 1} and len(got) == n + 2
     assert sum(rounds) <= 2 * math.log2(n) + 1
-    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 40
+    assert int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 40
 
 
 def test_components_of_a_sorted_chain(spark):
@@ -299,11 +299,11 @@ def slow_scores(rows, code):
             predictors.append(([(ws[same[-1]], 1.0)] if same else [], 0.5))
             gate = states[0] + 3 * states[1] + 9 * bool(same)
             code_bits = bits[row(w)]
-            grads, cells = [0.0] * 4, []
+            grads, cells = [0.0] * len(predictors), []
             for j in range(len(code_bits)):
                 on, at = code_bits[:j + 1], code_bits[:j]
                 xs = []
-                for named, left in [([], 1.0), *predictors]:
+                for named, left in predictors:
                     side = lambda p: sum(n for x, n in named if bits[row(x)].startswith(p)) + left * chance(p)  # noqa: E731, B023
                     down = side(on)
                     xs.append(max(-cm.LIMIT, min(cm.LIMIT, math.log(down / max(side(at) - down, 1e-9)))))
