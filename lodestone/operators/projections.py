@@ -40,22 +40,23 @@ def field(a: Column, name: str, has: list[str]) -> Column:
     return a[name].cast("string") if name in has else F.lit(None).cast("string")
 
 
-def compact_cell(a: Column, has: list[str]) -> Column:
-    """A cell's annotation: its concept and label under either name, its place and mention. has: fields of the struct."""
+def compact_cell(a: Column, has: list[str], source: str = "model") -> Column:
+    """A cell's annotation: its concept and label under either name, its place and mention, and the source that the caller
+    names. has: fields of the struct."""
     return F.struct(F.lit("cell").alias("obj"), a["start"].cast("int").alias("start"), a["end"].cast("int").alias("end"), F.coalesce(field(a, "mention", has), F.lit("")).alias("mention"),
                     F.coalesce(field(a, "concept_id", has), field(a, "cell_ontology_id", has)).alias("concept_id"),
                     F.coalesce(field(a, "preferred_label", has), field(a, "cell_ontology_label", has)).alias("preferred_label"),
-                    F.lit("CellExLink").alias("normalization_source"))
+                    F.lit(source).alias("normalization_source"))
 
 
-def compact_entity(a: Column, has: list[str]) -> Column:
+def compact_entity(a: Column, has: list[str], source: str = "service") -> Column:
     """A gene's or hormone's annotation with the fields of its type; null for other types. Absent fields are null."""
     kind = F.lower(F.coalesce(filled(field(a, "entity_type", has)), field(a, "obj", has), F.lit("")))
     of = lambda t, x: F.when(kind == t, x)
     hormone = F.coalesce(filled(field(a, "hormone_id", has)), filled(field(a, "chemical_id", has)))
     return F.when(kind.isin("gene", "hormone"), F.struct(
         kind.alias("obj"), a["start"].cast("int").alias("start"), a["end"].cast("int").alias("end"), F.coalesce(field(a, "mention", has), F.lit("")).alias("mention"),
-        field(a, "concept_id", has).alias("concept_id"), field(a, "preferred_label", has).alias("preferred_label"), F.lit("PubTator3").alias("normalization_source"),
+        field(a, "concept_id", has).alias("concept_id"), field(a, "preferred_label", has).alias("preferred_label"), F.lit(source).alias("normalization_source"),
         of("gene", field(a, "gene_id", has)).alias("gene_id"), *[of("gene", filled(field(a, f, has))).alias(f) for f in GENE_FIELDS],
         of("hormone", hormone).alias("hormone_id"), of("hormone", F.coalesce(filled(field(a, "chemical_id", has)), hormone)).alias("chemical_id"),
         of("hormone", F.coalesce(filled(field(a, "source_entity_type", has)), F.lit("Chemical"))).alias("source_entity_type"),
