@@ -8,12 +8,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lodestone import tables
 from lodestone.operators import linking
-from lodestone.llm import (chat_format, context_mixing, html_blocks, mixing, near_dup, packing, shard_tree, topk_threshold,
+from lodestone.llm import (chat_format, common, context_mixing, html_blocks, mixing, near_dup, packing, shard_tree, topk_threshold,
                            toxicity, winnowing)
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, score string"
@@ -170,6 +172,21 @@ def test_pairs_across_components_of_a_bucket(spark):
     assert got == brute_groups(list(enumerate(texts)), 5, 80)
 
 
+def test_joins_of_sets_merge_for_few_pairs_too(spark):
+    """What moves beside few pairs is what moves beside many, so a small run tells the disk of a large one."""
+    sides = [spark.range(10).select(F.col("id").alias("x"), F.lit(k).alias(f"c{k}")) for k in (1, 2)]
+    got = tables.looked_up(*sides, "x", total=10, merge=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and got.count() == 10
+
+
+def test_lean_workers_see_slices_and_every_row():
+    batch, seen = pa.record_batch([pa.array(range(10))], names=["x"]), []
+    run = lambda batches: (seen.append(b.num_rows) or b for b in batches)
+    got = list(common.lean(run, 4)(iter([batch, batch.slice(0, 0), batch.slice(7)])))
+    assert seen == [4, 4, 2, 3] and [v for b in got for v in b.column(0).to_pylist()] == [*range(10), 7, 8, 9]
+
+
 def test_circulant_signature_is_the_shifted_minimum():
     s = np.arange(1, 50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     sig = near_dup.signature(s, 300)
