@@ -390,6 +390,15 @@ def test_order_of_words_matters(spark):
     assert got[held[0]] > got[held[1]] + 50
 
 
+def test_every_successor_of_a_context_counts(spark):
+    """Twelve words follow the same one equally often, and a text that holds any of them is as likely as the others."""
+    held, free = ([i for i in range(900) if context_mixing.held_out(i) == kind] for kind in (True, False))
+    rows = [(free[i], f"lead {WORDS[i % 12]}") for i in range(600)]
+    rows += [(held[i], f"lead {WORDS[i]}") for i in range(12)]
+    got = [r.score for r in context_mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()]
+    assert len(got) == 12 and max(got) - min(got) < 0.5
+
+
 # toxicity
 
 def test_toxicity_learns_pairs_that_weights_miss():
