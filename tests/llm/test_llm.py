@@ -172,6 +172,16 @@ def test_pairs_across_components_of_a_bucket(spark):
     assert got == brute_groups(list(enumerate(texts)), 5, 80)
 
 
+def test_hot_keys_are_dealt_by_a_count_that_rows_hold(spark):
+    """A hot key's rows lie in many parts, each meets its one partner, and no list of hot keys is joined."""
+    rows = spark.range(30_000).select(F.when(F.col("id") < 9000, -1).otherwise(F.col("id")).alias("x"), F.col("id").alias("v"))
+    rows = rows.withColumn("many", F.when(F.col("x") == -1, 9000).otherwise(1))
+    found = rows.groupBy("x").agg(F.min("v").alias("least"), F.first("many").alias("many"))
+    got = tables.looked_up(rows, found, "x", many="many", total=30_000)
+    assert got.columns == ["x", "v", "many", "least"] and "__hot" not in got._jdf.queryExecution().analyzed().toString()
+    assert tuple(got.agg(F.count("*"), F.countDistinct("v"), F.sum("least")).head()) == (30_000, 30_000, sum(range(9000, 30_000)))
+
+
 def test_joins_of_sets_merge_for_few_pairs_too(spark):
     """What moves beside few pairs is what moves beside many, so a small run tells the disk of a large one."""
     sides = [spark.range(10).select(F.col("id").alias("x"), F.lit(k).alias(f"c{k}")) for k in (1, 2)]
