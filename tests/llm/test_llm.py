@@ -400,6 +400,13 @@ def test_order_of_words_matters(spark):
     assert got[held[0]] > got[held[1]] + 50
 
 
+def test_words_of_a_block_are_numbered():
+    texts = [b"", b" \t\n", b"One one\x0bONE", "é\x85 x<|y\x00 ".encode(), b"a", b"  b"]
+    spelled, number, lengths = context_mixing.numbered(texts)
+    want = [[*context_mixing.words_of(t), context_mixing.END] for t in texts]
+    assert [spelled[i] for i in number] == sum(want, []) and lengths.tolist() == [len(w) for w in want] and len(set(spelled)) == len(spelled)
+
+
 def test_every_successor_of_a_context_counts(spark):
     """Twelve words follow the same one equally often, and a text that holds any of them is as likely as the others."""
     held, free = ([i for i in range(900) if context_mixing.held_out(i) == kind] for kind in (True, False))
