@@ -7,7 +7,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship, table
+from lodestone.llm.common import lean, ship, table
 from lodestone.tables import durable
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "byte_bpe_50k.json"
-#: Texts are handed to the tokenizer in lots of about so many characters.
-LOT = 1 << 22
+#: Rows that are encoded or cut at once: memory follows these, not the batches that Spark sends.
+AT_ONCE = 256
 #: White space as the byte-level pre-tokenizer sees it, and units that it never joins: a run of other characters with
 #: the space before it, or a run of white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -54,14 +54,18 @@ def companion(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def lots(ids: list, texts: list) -> Iterator[tuple[list, list]]:
-    """Rows in order, in lots of about LOT characters."""
-    a, size = 0, 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size >= LOT or i + 1 == len(texts):
-            yield ids[a:i + 1], texts[a:i + 1]
-            a, size = i + 1, 0
+class Units(dict):
+    """Ids of units as bytes; those of a unit that is not known yet are made when it is met."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, unit: str) -> bytes:
+        out = self.encode(unit)
+        if len(unit) <= LONGEST:
+            self[unit] = out
+        return out
 
 
 class Encoder:
@@ -72,35 +76,25 @@ class Encoder:
         self.t = tokenizer(name)
         self.kind = "<u2" if max(self.t.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
         how = json.loads(self.t.to_str())
         pre = how["pre_tokenizer"] or {}
-        self.ranks = companion(name)
+        t, kind, ranks = self.t, self.kind, companion(name)  # no way back from the units to the encoder: both go when a task ends
+        ids_of = (lambda u: t.encode(u, add_special_tokens=False).ids) if ranks is None else ranks.encode_ordinary
+        self.known = Units(lambda u: np.array(ids_of(u), kind).tobytes())
         self.by_unit = (how["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                         and pre.get("use_regex", True) and all(x["special"] for x in how["added_tokens"]))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, units: list[str]) -> None:
-        """Encode units that are not known yet."""
-        if self.ranks is not None:
-            self.known.update((u, np.array(self.ranks.encode_ordinary(u), self.kind).tobytes()) for u in units)
-        else:
-            self.known.update(zip(units, self.raw(units), strict=True))
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
             return [x + self.end for x in self.raw(texts)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, cut = self.known, [UNIT.findall(x) for x in texts]
-        new = list(set().union(*cut).difference(known))
-        self.learn(new)
-        out = [b"".join(map(known.__getitem__, units)) + self.end for units in cut]
-        for u in new:
-            if len(u) > LONGEST:
-                del known[u]
+        out, ids_of = [], self.known.__getitem__
+        for x in texts:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            out.append(b"".join(map(ids_of, UNIT.findall(x))) + self.end)
         return out
 
 
@@ -110,15 +104,13 @@ def encode_partition(name: str, end_id: int):
         encode, pid, at = Encoder(name, end_id), TaskContext.get().partitionId(), 0
         width = np.dtype(encode.kind).itemsize
         for batch in batches:
-            for ids, texts in lots(batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]):
-                rows = encode(texts)
-                n = np.array([len(x) // width for x in rows], np.int64)
-                ends = at + np.cumsum(n)
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.binary()),
-                                       pa.array(n), pa.array(ends - n), pa.array([pid] * len(ids), pa.int32())],
-                                      names=["doc_id", "ids", "doc_tokens", "at", "pid"])
-                at = int(ends[-1])
-    return run
+            rows = encode([x or "" for x in batch.column(1).to_pylist()])
+            n = np.array([len(x) // width for x in rows], np.int64)
+            ends = at + np.cumsum(n)
+            yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary()), pa.array(n), pa.array(ends - n), pa.array([pid] * len(rows), pa.int32())],
+                                  names=["doc_id", "ids", "doc_tokens", "at", "pid"])
+            at += int(n.sum())
+    return lean(run, AT_ONCE)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, boundary boolean"
@@ -140,7 +132,7 @@ def cut_partition(window: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.bool_() if i == 7 else pa.int64()) for i, c in enumerate(zip(*out, strict=True) if out else [[]] * 8)],
                 names=[x.split()[0] for x in PIECES.split(", ")])
-    return run
+    return lean(run, AT_ONCE)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer_file: str = TOKENIZER) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship, table
+from lodestone.llm.common import lean, ship, table
 
 #: Terms are hashed into so many places.
 PLACES = 1 << 22
@@ -25,6 +25,8 @@ FACTORS, EPOCHS, BATCH, LEAST_BATCHES, RATE, DECAY, SEED = 6, 14, 512, 16, 0.03,
 #: Words whose terms a worker remembers.
 REMEMBERED = 150_000
 THRESHOLD, HELD_OUT = 0.3, 2
+#: Rows that a worker scores at once.
+AT_ONCE = 256
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -146,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT) -> Machi
     chosen = F.broadcast(part(1, TOXIC_ROWS).unionByName(part(0, OTHER_ROWS)))  # bounded by the two limits
     texts = (docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id")
              .groupBy("id", "toxic").agg(F.min("text").alias("text"))  # one text of rows that share an id
-             .select("toxic", "text").mapInArrow(terms_partition, "toxic int, terms binary"))
+             .select("toxic", "text").mapInArrow(lean(terms_partition, AT_ONCE), "toxic int, terms binary"))
     got = texts.toArrow()
     rows = sorted(zip(got["toxic"].to_pylist(), got["terms"].to_pylist(), strict=True))
     del got
@@ -162,7 +164,7 @@ def score_partition(machine: Machine, at: int) -> Callable:
             scores = pa.array([score(t.as_py()) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], scores],
                                              names=[*[n for i, n in enumerate(batch.schema.names) if i != at], "score"])
-    return run
+    return lean(run, AT_ONCE)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, held_out: int = HELD_OUT) -> DataFrame:
@@ -184,7 +186,7 @@ def accept_partition(machine: Machine, at: int, threshold: float) -> Callable:
         score = machine.scorer()
         for batch in batches:
             yield batch.filter(pa.array([score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
-    return run
+    return lean(run, AT_ONCE)
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

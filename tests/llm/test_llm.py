@@ -1,10 +1,12 @@
 """Operators of the llm subpackage against brute force, exact round trips and held-out accuracy, with odd inputs."""
 
 import collections
+import gc
 import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -731,3 +733,30 @@ def test_units_give_the_tokenizers_ids():
     letters = "ab1 .\n\t\r\x0b\x1c\x1d\x85\xa0 　​é中😀'sd|<>\x00"
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) + r.choice(["", "<|endoftext|>", "'ll  x"]) for _ in range(3000)]
     assert encode(texts) == [x + encode.end for x in encode.raw(texts)]
+
+
+def test_packing_sees_few_rows_at_once_and_forgets(monkeypatch):
+    """However large Spark's batches, a worker encodes few rows at once, and nothing of a task outlives it."""
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 3)}))
+    seen, kept = [], []
+
+    class Seen(packing.Encoder):
+        def __call__(self, texts):
+            kept[:] = [weakref.ref(self)]
+            seen.append(len(texts))
+            return super().__call__(texts)
+
+    monkeypatch.setattr(packing, "Encoder", Seen)
+    texts = [None if i % 7 == 0 else f"word{i} and so on" for i in range(3000)]
+    batch = pa.record_batch([pa.array(range(3000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    gc.disable()
+    try:
+        got = pa.Table.from_batches(packing.encode_partition(packing.TOKENIZER, 1)(iter([batch, batch])))
+        assert kept[0]() is None
+    finally:
+        gc.enable()
+    n = got["doc_tokens"].to_numpy()
+    assert max(seen) <= 512 and sum(seen) == len(got) == 6000
+    assert got["doc_id"].to_pylist() == [*range(3000)] * 2 and (got["at"].to_numpy() == np.cumsum(n) - n).all() and set(got["pid"].to_pylist()) == {3}
+    plain = packing.tokenizer(packing.TOKENIZER)
+    assert got["ids"].to_pylist()[:50] == [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u2").tobytes() for t in texts[:50]]
