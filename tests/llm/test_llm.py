@@ -418,6 +418,23 @@ def test_every_successor_of_a_context_counts(spark):
     assert len(got) == 12 and max(got) - min(got) < 0.5
 
 
+def test_pairs_of_a_block_are_held_in_half_the_memory(monkeypatch):
+    """Places of pairs take four bytes, and what a pair before tells is found piece by piece as at once."""
+    cm, r = context_mixing, np.random.default_rng(5)
+    number, place, learned = r.integers(0, 50, 5000), np.arange(5000) % 40, r.random(5000) < 0.9
+    h = cm.hashes([b"%d" % i for i in range(50)])
+    code = cm.make_code(h >> np.uint64(64 - cm.COUNTED_BITS), r.integers(1, 900, 50), 50_000, 60, 3, np.zeros(1 << 16, np.int64))
+    _, _, owner, word, pair = cm.pairs_of(3, 1, learned, number, h[number], place, code.successors(h))
+    assert {x.dtype for x in (owner, word, pair)} == {np.dtype(np.int32)} and (word[pair] == number).all()
+    row = code.by_word(h)[word]
+    whole = cm.untold(code, owner, row)
+    monkeypatch.setattr(cm, "INPUTS", 7)
+    assert all((a == b).all() for a, b in zip(whole, cm.untold(code, owner, row), strict=True))
+    plain = [0 if i == 0 or owner[i] != owner[i - 1] else
+             1 + min(int(code.length[row[i]]), int(cm.agreed(code.code[row[i]:row[i] + 1], code.code[row[i - 1]:row[i - 1] + 1])[0])) for i in range(len(row))]
+    assert whole[0].tolist() == plain
+
+
 # toxicity
 
 def test_toxicity_learns_pairs_that_weights_miss():
