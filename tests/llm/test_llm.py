@@ -6,6 +6,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import weakref
 import zlib
 
@@ -435,6 +437,50 @@ def test_pairs_of_a_block_are_held_in_half_the_memory(monkeypatch):
     assert whole[0].tolist() == plain
 
 
+def asked_range(blocks, each):
+    """A code, and what blocks ask of a range: contexts of one to many successors, of which they share a part."""
+    cm, r = context_mixing, np.random.default_rng(8)
+    h = np.sort(cm.hashes([b"%d" % i for i in range(3000)]))
+    code = cm.make_code(h[:2000] >> np.uint64(64 - cm.COUNTED_BITS), r.integers(1, 900, 2000), 500_000, 3000, 3, np.zeros(1 << 16, np.int64))
+    after, asked = code.successors(h), []
+    for _ in range(blocks):
+        context = (r.integers(0, 200, each) ** 2 * 6700).astype(np.uint64)
+        key, n = np.unique(context << np.uint64(cm.SUCCESSOR_BITS) | after[r.integers(0, 3000, each)].astype(np.uint64), return_counts=True)
+        c, of = np.unique(key >> np.uint64(cm.SUCCESSOR_BITS), return_counts=True)
+        step = np.diff((key & np.uint64((1 << cm.SUCCESSOR_BITS) - 1)).astype(np.int64), prepend=0)
+        first = np.cumsum(of) - of
+        step[first] = key[first] & np.uint64((1 << cm.SUCCESSOR_BITS) - 1)
+        asked.append((cm.small(np.diff(c, prepend=np.uint64(0))), cm.small(of * 2 + r.integers(0, 2, len(c))), cm.planes(step, 3), cm.small(n - (r.random(len(n)) < 0.2))))
+    return code, asked
+
+
+def test_a_range_is_answered_slice_by_slice(monkeypatch):
+    """The same answers whatever the slices, and memory does not follow the number of pairs that a range is asked for."""
+    code, asked = asked_range(12, 30_000)
+    answers, peaks = [], []
+    for size in (1 << 30, 1 << 12, 100):
+        monkeypatch.setattr(context_mixing, "SLICE", size, raising=False)
+        tracemalloc.start()
+        answers.append(context_mixing.told(asked, code))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert answers[0] == answers[1] == answers[2]
+    assert peaks[1] < 0.5 * peaks[0]
+
+
+def test_shuffles_of_a_swept_table_leave_the_disks(spark):
+    """No files of its shuffles stay behind, and the session's setting stays as it was."""
+    here = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before, set_to = here(), spark.conf.get(tables.SWEEP, None)
+    out = tables.durable(spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count(), sweep=True)
+    for _ in range(50):
+        if here() <= before:
+            break
+        time.sleep(0.1)
+    assert here() <= before and spark.conf.get(tables.SWEEP, None) == set_to
+    assert sorted(x["count"] for x in out.collect()) == [142, 143, 143, 143, 143, 143, 143]
+
+
 # toxicity
 
 def test_toxicity_learns_pairs_that_weights_miss():
