@@ -468,6 +468,16 @@ def test_a_range_is_answered_slice_by_slice(monkeypatch):
     assert peaks[1] < 0.5 * peaks[0]
 
 
+def test_ranks_are_found_in_few_copies():
+    """Ranks as of a plain search, and less than six times the values' memory at once."""
+    x = np.random.default_rng(2).integers(0, 1 << 30, 500_000).astype(np.uint64)
+    tracemalloc.start()
+    value, rank = context_mixing.ranked(x, 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (value[rank] == x).all() and (value[1:] > value[:-1]).all() and peak < 5.5 * x.nbytes
+
+
 def test_shuffles_of_a_swept_table_leave_the_disks(spark):
     """No files of its shuffles stay behind, and the session's setting stays as it was."""
     here = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
